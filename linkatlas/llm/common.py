@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,27 +62,38 @@ def ascii_words(text: bytes) -> list[bytes]:
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """From batches sorted by ``keys``, tables that each hold whole groups."""
+    """From batches sorted by integer ``keys`` without nulls, tables that each hold whole groups."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+    before = None
+    for b in batches:
+        if not b.num_rows:
             continue
-        last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
-        cut = batch.num_rows
-        for k, v in zip(keys, last, strict=True):
-            col = batch.column(k)
-            while cut and col[cut - 1].as_py() == v and all(batch.column(j)[cut - 1].as_py() == x for j, x in zip(keys, last, strict=True)):
-                cut -= 1
-            break
-        if cut:
-            if held and [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys] != last or not held or cut < batch.num_rows:
-                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-                held = []
-        held.append(batch.slice(cut))
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        if held and before != tuple(c[0] for c in cols):
+            yield pa.Table.from_batches(held)
+            held = []
+        moved = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            moved |= c[1:] != c[:-1]
+        last = int(np.flatnonzero(moved)[-1]) + 1 if moved.any() else 0
+        if last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+        before = tuple(c[-1] for c in cols)
     if held:
         yield pa.Table.from_batches(held)
 
 
+def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the groups of a table sorted by ``keys`` begin, and its length."""
+    moved = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        c = table.column(k).to_numpy()
+        moved |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(moved) + 1, [table.num_rows]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v: long) as (node, root): every node that has an edge, once.
 
