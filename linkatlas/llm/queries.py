@@ -1,6 +1,16 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB texts."""
 
+from .embed import op8_embeddings
+from .langid import op6_language
+from .merkle import OP10_SQL, op10_merkle_audit
 from .simhash import op4_simhash
+from .toxicity import op5_toxicity
 
-QUERIES = {"op4_simhash": op4_simhash}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
+    "op8_embeddings": op8_embeddings,
+    "op10_merkle_audit": op10_merkle_audit,
+}
+SQL = {"op10_merkle_audit": OP10_SQL}
