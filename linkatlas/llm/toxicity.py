@@ -1,11 +1,12 @@
 """Toxic passages as maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Token scores are log-odds of toxic against clean labelled documents under an informative Dirichlet
-prior (each token's prior count is its share of the whole), less twice their standard error, so that
-only well-attested tokens score above zero; every token also pays ``DRIFT``, which keeps the expected
-score negative. Tokens are hashed into 2**BITS buckets, so the model's size is fixed. One linear scan
+A token is counted as itself and by its first bytes (``STEMS``). Each of these has log-odds of toxic
+against clean labelled documents under an informative Dirichlet prior (its prior count is its share of
+the whole), less ``ERRORS`` standard errors, or zero if that is under ``LEAST``; the token's score is the best of
+them, so that only well-attested tokens score above zero, less ``DRIFT``, which keeps the expected score negative. Words
+and stems are hashed into 2**BITS buckets, so the model's size is fixed. One linear scan
 per text finds all maximal scoring segments. With lambda the positive root of
-E[exp(lambda * score)] = 1 over clean tokens and K fitted on clean texts' best segments, a segment of
+E[exp(lambda * score)] = 1 over clean texts' tokens and K fitted on their best segments, a segment of
 score S in n tokens is worth lambda * S - ln(K n) nats; segments worth over zero are significant. Their
 best and summed worth give the document's score through a logistic curve fitted on documents that the
 token scores have not seen.
@@ -16,6 +17,7 @@ bounded sample for fitting; every document is scored whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +29,41 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 from .folds import bounded_sample, fold
 
-BITS, LABELLED, PRIOR, DRIFT, FOLDS = 20, 40_000, 2000.0, 0.05, 5
+BITS, LABELLED, PRIOR, DRIFT, FOLDS = 20, 40_000, 2000.0, 0.1, 5
+ERRORS, LEAST = 3.0, 0.7
+STEMS = (3, 4, 5, 6, 7, 8, 9)
+#: Bins for the spread of clean tokens' scores.
+BINS = (np.arange(-10, 401) + 0.5) / 20
 #: Everything but letters parts tokens; bytes from 80 up are kept as letters.
 TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-class Buckets(dict):
-    """Token to bucket, remembered while there is room."""
+def words_in(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split()
 
-    def __missing__(self, word: bytes) -> int:
+
+def buckets(word: bytes) -> list[int]:
+    """The word's own bucket and those of its stems; a shorter word stands for its missing stems."""
+    digest, mask = xxhash.xxh32_intdigest, (1 << BITS) - 1
+    return [digest(word) & mask, *(digest(word[:k], k) & mask for k in STEMS)]
+
+
+class Scores(dict):
+    """Token to score, remembered while there is room."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: bytes) -> float:
         if len(self) > 300_000:
             self.clear()
-        b = self[word] = xxhash.xxh32_intdigest(word) & ((1 << BITS) - 1)
-        return b
-
+        s = self[word] = float(self.table[buckets(word)].max()) - DRIFT
+        return s
 
-def token_buckets(text: str | None, known: Buckets) -> np.ndarray:
-    words = (text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split()
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_in(text)
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -69,18 +88,20 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """A score for each bucket; see the module's text."""
+    """A lower bound of each bucket's log-odds, zero at least; see the module's text."""
     n1, n0 = toxic.sum(), clean.sum()
-    share = (toxic + clean + 0.01) / (n1 + n0 + 0.01 * len(toxic))
-    a = prior * share
+    if not n1 or not n0:
+        return np.zeros(len(toxic), np.float32)
+    a = prior * (toxic + clean + 0.01) / (n1 + n0 + 0.01 * len(toxic))
     y1, y0 = toxic + a, clean + a
     delta = np.log(y1 / (n1 + prior - y1)) - np.log(y0 / (n0 + prior - y0))
-    return (np.maximum(delta - 2 * np.sqrt(1 / y1 + 1 / y0), 0) - DRIFT).astype(np.float32)
+    low = delta - ERRORS * np.sqrt(1 / y1 + 1 / y0)
+    return np.where(low > LEAST, low, 0).astype(np.float32)
 
 
-def karlin_lambda(score: np.ndarray, clean: np.ndarray) -> float:
-    """The positive root of the moment equation; 1 where no token scores above zero."""
-    p = clean / max(1.0, clean.sum())
+def karlin_lambda(score: np.ndarray, n: np.ndarray) -> float:
+    """The positive root of the moment equation for scores seen ``n`` times; 1 where none is above zero."""
+    p = n / max(1.0, n.sum())
     if not (p[score > 0] > 0).any():
         return 1.0
     lo, hi = 1e-6, 1.0
@@ -134,11 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict:
     rows = docs.where(fold(FOLDS) > 0).select("doc_id", "text").join(F.broadcast(told), "doc_id").select(fold(FOLDS).cast("int").alias("fold"), "toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = Buckets(), np.zeros((2, 1 << BITS), np.int64)
+        n = np.zeros((2, 1 << BITS), np.int64)
         for b in batches:
+            words: tuple[Counter, Counter] = (Counter(), Counter())
             for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                i = token_buckets(t, known)
-                np.add.at(n[int(y > 0)], i, 1)
+                words[int(y > 0)].update(words_in(t))
+            for y, seen in enumerate(words):
+                if seen:
+                    at = np.array([buckets(w) for w in seen])
+                    np.add.at(n[y], at, np.fromiter(seen.values(), np.int64, len(seen))[:, None])
         at = np.flatnonzero(n.any(0))
         for s in range(0, len(at), 1 << 16):
             p = at[s : s + (1 << 16)]
@@ -148,18 +173,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict:
     toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = counts.column("bucket").to_numpy()
     toxic[at], clean[at] = counts.column("toxic").to_numpy(), counts.column("clean").to_numpy()
-    score = log_odds(toxic, clean) if toxic.sum() and clean.sum() else np.full(1 << BITS, -DRIFT, np.float32)
-    lam = karlin_lambda(score, clean)
-    sent = spark.sparkContext.broadcast(score)
+    sent = spark.sparkContext.broadcast(log_odds(toxic, clean))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets()
+        scores = Scores(sent.value)
         for b in batches:
-            found = [(int(y > 0), token_buckets(t, known)) for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            rows = [(y, len(i), [s for _, _, s in segments(sent.value[i])]) for y, i in found]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["toxic", "n", "s"])
+            out, spread = [], np.zeros(len(BINS) - 1, np.int64)
+            for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s = scores.of(t)
+                out.append((int(y > 0), len(s), [x for _, _, x in segments(s)]))
+                if y <= 0:
+                    spread += np.histogram(np.minimum(s, BINS[-1]), BINS)[0]
+            out.append((-1, 0, spread.astype(float).tolist()))
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.float64()))], names=["toxic", "n", "s"])
 
     seen = rows.where("fold = 4").mapInArrow(measure, "toxic long, n long, s array<double>").toArrow().to_pylist()
+    spread = sum((np.array(r["s"]) for r in seen if r["toxic"] < 0), np.zeros(len(BINS) - 1))
+    seen = [r for r in seen if r["toxic"] >= 0]
+    lam = karlin_lambda((BINS[:-1] + BINS[1:]) / 2, spread)
     best = [r["n"] * np.exp(-lam * max(r["s"], default=0.0)) for r in seen if not r["toxic"] and r["n"]]
     k = float(np.clip(1 / max(np.mean(best), 1e-9), 1e-4, 1.0)) if best else 0.1
     y = np.array([r["toxic"] for r in seen], float)
@@ -167,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict:
     if len(seen) > 10 and 0 < y.mean() < 1:
         w = [worth([(0, 0, s) for s in r["s"]], r["n"], lam, k)[:2] for r in seen]
         curve = logistic(features(np.array([x[0] for x in w]), np.array([x[1] for x in w])), y)
-    return {"score": sent, "lambda": lam, "k": k, "curve": curve.tolist()}
+    return {"table": sent, "lambda": lam, "k": k, "curve": curve.tolist()}
 
 
 def toxic_passages(docs: DataFrame, model: dict) -> DataFrame:
@@ -177,16 +208,16 @@ def toxic_passages(docs: DataFrame, model: dict) -> DataFrame:
     are scored alike; an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    sent, lam, k, curve = model["score"], model["lambda"], model["k"], np.array(model["curve"])
+    sent, lam, k, curve = model["table"], model["lambda"], model["k"], np.array(model["curve"])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("worth", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets()
+        scores = Scores(sent.value)
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                i = token_buckets(t, known)
-                out.append((*worth(segments(sent.value[i]), len(i), lam, k), len(i)))
+                s = scores.of(t)
+                out.append((*worth(segments(s), len(s), lam, k), len(s)))
             x = features(np.array([o[0] for o in out]), np.array([o[1] for o in out]))
             p = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
             spans = [[{"first": f, "end": e, "worth": w} for f, e, w in o[2]] for o in out]
