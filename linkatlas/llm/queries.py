@@ -4,12 +4,14 @@ from .embed import op8_embeddings
 from .langid import op6_language
 from .merkle import OP10_SQL, op10_merkle_audit
 from .simhash import op4_simhash
+from .suffix import op7_suffix
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
+    "op7_suffix": op7_suffix,
     "op8_embeddings": op8_embeddings,
     "op10_merkle_audit": op10_merkle_audit,
 }
