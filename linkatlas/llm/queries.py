@@ -1,5 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB texts."""
 
+from .decontam import OP1_SQL, op1_decontamination
 from .embed import op8_embeddings
 from .langid import op6_language
 from .merkle import OP10_SQL, op10_merkle_audit
@@ -8,6 +9,7 @@ from .suffix import op7_suffix
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
@@ -15,4 +17,4 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op10_merkle_audit": op10_merkle_audit,
 }
-SQL = {"op10_merkle_audit": OP10_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op10_merkle_audit": OP10_SQL}
