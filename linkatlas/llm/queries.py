@@ -3,6 +3,7 @@
 from .decontam import OP1_SQL, op1_decontamination
 from .embed import op8_embeddings
 from .langid import op6_language
+from .license import OP2_SQL, op2_licenses
 from .merkle import OP10_SQL, op10_merkle_audit
 from .simhash import op4_simhash
 from .suffix import op7_suffix
@@ -10,6 +11,7 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_licenses": op2_licenses,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
@@ -17,4 +19,4 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op10_merkle_audit": op10_merkle_audit,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op10_merkle_audit": OP10_SQL}
+SQL = {"op2_licenses": OP2_SQL, "op1_decontamination": OP1_SQL, "op10_merkle_audit": OP10_SQL}
