@@ -5,6 +5,7 @@ from .embed import op8_embeddings
 from .langid import op6_language
 from .license import OP2_SQL, op2_licenses
 from .merkle import OP10_SQL, op10_merkle_audit
+from .mixing import op3_mixing
 from .ngram import op9_ngram
 from .simhash import op4_simhash
 from .suffix import op7_suffix
@@ -13,6 +14,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_licenses": op2_licenses,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,

@@ -269,7 +269,9 @@ def tid(column: str):
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """For each row: row (a struct of all its columns), kept (binary), n_bytes, n_removed, n_spans.
+    """For each row: row (a struct of all its columns), kept_text, n_bytes, n_removed, n_spans, kept_sha256.
+
+    kept_text is what is left, decoded without letters that a cut has split; kept_sha256 is of the bytes.
 
     Removes each byte under a string of ``length`` bytes that starts anywhere else as well, in the same
     text or another; repeated rows count as other texts. Null texts count as empty, texts shorter than
@@ -292,10 +294,10 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n.append(len(t))
                 gone.append(int((z - a).sum()))
                 spans.append(len(a))
-            yield pa.record_batch([b.column(0), pa.array(left, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())], names=["row", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())], names=["row", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = keyed.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(strip, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(strip, f"row {kind}, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_suffix(spark, sf_dir: str) -> DataFrame:

@@ -202,32 +202,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict:
 
 
 def toxic_passages(docs: DataFrame, model: dict) -> DataFrame:
-    """For each row: doc_id, score, passages (array of first token, end token, worth in nats), n_tokens.
+    """For each row: row (a struct of all its columns), score, passages (array of first token, end token, worth in nats), n_tokens.
 
     Null, empty and letterless texts have no passages and the score of a text without any. Repeated rows
-    are scored alike; an empty table gives no rows; other columns are ignored.
+    are scored alike; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     sent, lam, k, curve = model["table"], model["lambda"], model["k"], np.array(model["curve"])
+    at = docs.columns.index("text")
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("worth", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(sent.value)
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(0).field(at).to_pylist():
                 s = scores.of(t)
                 out.append((*worth(segments(s), len(s), lam, k), len(s)))
             x = features(np.array([o[0] for o in out]), np.array([o[1] for o in out]))
             p = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
             spans = [[{"first": f, "end": e, "worth": w} for f, e, w in o[2]] for o in out]
-            yield pa.record_batch([b.column(0), pa.array(p), pa.array(spans, kind), pa.array([o[3] for o in out], pa.int64())], names=["doc_id", "score", "passages", "n_tokens"])
+            yield pa.record_batch([b.column(0), pa.array(p), pa.array(spans, kind), pa.array([o[3] for o in out], pa.int64())], names=["row", "score", "passages", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, passages array<struct<first:long,end:long,worth:double>>, n_tokens long")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, f"row {docs.schema.simpleString()}, score double, passages array<struct<first:long,end:long,worth:double>>, n_tokens long")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    out = toxic_passages(docs, model)
+    out = toxic_passages(docs, model).select(F.col("row.doc_id").cast("long").alias("doc_id"), "score", "passages")
     return out.select("doc_id", (fold(FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
