@@ -3,8 +3,9 @@
 A classifier fitted on the labelled table gives each document a posterior over domains (language and
 quality of the labelled documents). Document rates r >= 0 are then fitted by projected-gradient least
 squares so that the expected token totals sum(r * tokens * posterior) match the targets. The gradient is
-scaled by the domains' token-weighted second moments, under which a full step never overshoots and few
-steps are needed. A document's rate follows from its posterior and the list of steps, so that a pass
+scaled by the domains' token-weighted second moments. Over all documents, these give steps that never
+overshoot; over those whose rate is above zero, longer steps, which are taken where they bring the
+totals closer. A document's rate follows from its posterior and the list of steps, so that a pass
 over the posteriors only sends one vector per task; documents are never moved.
 
 The classifier is fitted on at most ``LABELLED`` labelled documents chosen by hash: a bounded sample.
@@ -129,34 +130,49 @@ def fit_rates(members: DataFrame, k: int, targets: np.ndarray | None = None, ste
     Without targets they are the present totals to the power ``TEMPER``, scaled to the same sum.
     """
 
-    def totals(done: np.ndarray, moments: bool) -> np.ndarray:
+    def totals(done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(k + k * k)
             for b in batches:
-                n, p = b.column(0).to_numpy().astype(float), _matrix(b.column(1), k)
-                out[:k] += (n * rates_of(p, done)) @ p
-                if moments:
-                    out[k:] += ((p * n[:, None]).T @ p).ravel()
+                got = sums(b.column(0).to_numpy().astype(float), _matrix(b.column(1), k), done)
+                out += np.concatenate((got[0], got[1].ravel()))
             yield pa.record_batch([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
 
         got = members.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(k + k * k)
         for r in got:
             out[r["i"]] = r["x"]
-        return out
+        return out[:k], out[k:].reshape(k, k)
 
+    return descend(totals, k, targets, steps)
+
+
+def sums(n: np.ndarray, p: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected totals after the steps, and second moments of the documents whose rate is above zero."""
+    r = rates_of(p, done)
+    live = p[r > 0]
+    return (n * r) @ p, (live * n[r > 0, None]).T @ live
+
+
+def descend(totals, k: int, targets: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Projected-gradient steps until the totals are within ``CLOSE`` or ``most`` steps are taken."""
     done = np.zeros((0, k))
-    first = totals(done, True)
-    now, moments = first[:k], first[k:].reshape(k, k)
+    now, active = totals(done)
     if targets is None:
         targets = np.where(now > 0, now, 0) ** TEMPER
         targets = targets * (now.sum() / max(targets.sum(), 1e-300))
-    scale = np.linalg.pinv(moments + np.eye(k) * (1e-9 * max(np.trace(moments), 1e-300)))
-    for _ in range(steps):
-        if np.abs(now - targets).max() <= CLOSE * max(1.0, targets.sum()):
+    scale = lambda m: np.linalg.pinv(m + np.eye(k) * (1e-9 * max(np.trace(m), 1e-300)))
+    safe = scale(active)
+    for _ in range(most):
+        off = now - targets
+        if np.abs(off).max() <= CLOSE * max(1.0, targets.sum()):
             break
-        done = np.vstack([done, scale @ (now - targets)])
-        now = totals(done, False)[:k]
+        longer = np.vstack([done, scale(active) @ off])
+        after, live = totals(longer)
+        if np.linalg.norm(after - targets) >= np.linalg.norm(off):
+            longer = np.vstack([done, safe @ off])
+            after, live = totals(longer)
+        done, now, active = longer, after, live
     return done, targets, now
 
 
