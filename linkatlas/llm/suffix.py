@@ -9,8 +9,10 @@ Equal contexts are collapsed to one with a count. The distinct contexts of a gro
 which sorts their suffixes in two stages: the suffixes smaller than their successors are sorted directly
 (to the depth of a window), the others are induced by scanning the buckets of first bytes in order.
 Common prefixes of neighbours then tell which windows occur twice. A group with more than ``GROUP_CAP``
-distinct contexts is not brought together: its windows are hashed (128 bits) and counted one by one,
-with pre-aggregation, which is exact as well and has no hot spot.
+distinct contexts is not brought together: its contexts are cut at fixed places from the gram into pieces
+of up to ``PIECE`` windows, and pieces are counted by their hashes (128 bits). Of pieces that occur once,
+those that share what all windows at their place have in common with another piece have their windows
+counted one by one. All counts are pre-aggregated, so this is as exact and has no hot spot.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, drop, grouped, kept
 
-LENGTH, GRAM, GROUP_CAP, CHUNK = 400, 32, 256, 1 << 20
+LENGTH, GRAM, GROUP_CAP, CHUNK, PIECE = 400, 32, 256, 1 << 20, 16
 
 
 def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -43,11 +45,11 @@ def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: the gram's hash, the first window's start, how many windows."""
+def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the gram's hash, the first window's start, how many windows, the gram's place in it."""
     if len(text) < length:
         z = np.zeros(0, np.int64)
-        return z, z, z
+        return z, z, z, z
     h = gram_hashes(np.frombuffer(text, np.uint8))
     w = length - GRAM + 1
     place = np.uint64((1 << max(20, len(h).bit_length())) - 1)
@@ -59,7 +61,7 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     n = len(text) - length + 1
     at = (np.minimum(back[:n], fore[w - 1 : w - 1 + n]) & place).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return h[at[first]].view(np.int64), first, np.diff(np.concatenate((first, [n])))
+    return h[at[first]].view(np.int64), first, np.diff(np.concatenate((first, [n]))), at[first] - first
 
 
 def suffix_order(flat: bytes, start: np.ndarray, size: np.ndarray, windows: np.ndarray, depth: int) -> np.ndarray:
@@ -186,12 +188,13 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             found = [runs(t, length) for t in b.column(1).to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-            yield pa.record_batch([b.column(0).take(pa.array(at)), *map(pa.array, cols)], names=["tid", "fp", "first", "n"])
+            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
+            yield pa.record_batch([b.column(0).take(pa.array(at)), *map(pa.array, cols)], names=["tid", "fp", "first", "n", "off"])
 
-    anchors = kept(texts.mapInArrow(find, "tid binary, fp long, first long, n long").dropDuplicates(["tid", "first"]), "anchors")
-    twice = anchors.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    wanted = kept(anchors.join(twice, "fp").groupBy("tid").agg(F.collect_list(F.struct("fp", "first", "n")).alias("runs")), "runs")
+    anchors = kept(texts.mapInArrow(find, "tid binary, fp long, first long, n long, off long").dropDuplicates(["tid", "first"]), "anchors")
+    # Kept, so that the join below can split a gram that is in very many places.
+    twice = kept(anchors.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "twice")
+    wanted = kept(anchors.join(twice, "fp").groupBy("tid").agg(F.collect_list(F.struct("fp", "first", "n", "off")).alias("runs")), "runs")
     drop(anchors)
     # Each text once; its copies are pre-aggregated.
     once = texts.groupBy("tid").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"))
@@ -202,28 +205,28 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for i in range(b.num_rows):
                 key, text, copies, found = (b.column(k)[i].as_py() for k in range(4))
                 if copies > 1:
-                    yield pa.record_batch([pa.array([key], pa.binary()), pa.array([0]), pa.array([0]), pa.array([len(text) - length + 1]), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["tid", "fp", "first", "n", "ch", "context"])
+                    yield pa.record_batch([pa.array([key], pa.binary()), pa.array([0]), pa.array([0]), pa.array([len(text) - length + 1]), pa.array([0]), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["tid", "fp", "first", "n", "off", "ch", "context"])
                 if not found:
                     continue
                 rows = []
                 for r in found:
                     c = text[r["first"] : r["first"] + r["n"] + length - 1]
                     ch = xxhash.xxh3_128_digest(c)
-                    rows.append((key, r["fp"], r["first"], r["n"], ch, None if ch in sent else c))
+                    rows.append((key, r["fp"], r["first"], r["n"], r["off"], ch, None if ch in sent else c))
                     if len(sent) < 200_000:
                         sent.add(ch)
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 for s in range(0, len(rows), 2000):
-                    yield pa.record_batch([pa.array(list(x), k) for x, k in zip(zip(*rows[s : s + 2000], strict=True), kinds, strict=True)], names=["tid", "fp", "first", "n", "ch", "context"])
+                    yield pa.record_batch([pa.array(list(x), k) for x, k in zip(zip(*rows[s : s + 2000], strict=True), kinds, strict=True)], names=["tid", "fp", "first", "n", "off", "ch", "context"])
 
     placed = once.join(wanted, "tid", "left").where("copies > 1 or runs is not null").select("tid", "raw", "copies", "runs")
-    placed = kept(placed.mapInArrow(cut, "tid binary, fp long, first long, n long, ch binary, context binary"), "contexts")
+    placed = kept(placed.mapInArrow(cut, "tid binary, fp long, first long, n long, off long, ch binary, context binary"), "contexts")
     drop(wanted)
     whole = placed.where("ch is null").select("tid", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     placed = placed.where("ch is not null")
-    classes = kept(placed.groupBy("ch", "fp", "n").agg(F.first("context", True).alias("context"), F.count("*").alias("c")), "classes")
+    classes = kept(placed.groupBy("ch", "fp", "n", "off").agg(F.first("context", True).alias("context"), F.count("*").alias("c")), "classes")
     crowd = classes.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1")
-    met = classes.join(crowd, "fp").select("fp", "ch", "context", "m")
+    met = classes.join(crowd, "fp").select("fp", "ch", "off", "context", "m")
     cold, hot = met.where(F.col("m") <= GROUP_CAP), met.where(F.col("m") > GROUP_CAP)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +247,42 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield flush(held)
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cut contexts into pieces of up to ``PIECE`` windows whose places relative to the gram fall in one cell."""
+        for b in batches:
+            for ch, off, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                at = np.arange(len(c) - length + 1)
+                cell = (off - at) // PIECE
+                lo = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
+                rows = []
+                for s, k in zip(lo.tolist(), np.diff(np.concatenate((lo, [len(at)]))).tolist(), strict=True):
+                    # What all windows of the cell have in common, and the piece itself with its place in the cell.
+                    inner = off - int(cell[s]) * PIECE
+                    common = xxhash.xxh3_128_digest(c[inner : inner - PIECE + 1 + length])
+                    rows.append((ch, s, k, xxhash.xxh3_128_digest(c[s : s + k - 1 + length], seed=(off - s) % PIECE), common))
+                yield pa.record_batch([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["ch", "s", "k", "h", "common"])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ch, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                d = [xxhash.xxh3_128_digest(c[i : i + length]) for i in range(len(c) - length + 1)]
-                yield pa.record_batch([pa.array([ch] * len(d), pa.binary()), pa.array(range(len(d)), pa.int64()), pa.array(d, pa.binary())], names=["ch", "s", "w"])
+            for c, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(x["h"], i, xxhash.xxh3_128_digest(c[x["s"] + i : x["s"] + i + length])) for x in cuts for i in range(x["k"])]
+                yield pa.record_batch([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["h", "i", "w"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = cold.select("fp", "ch", "context").repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(sort, "ch binary, s long, e long")
-    each = kept(hot.select("ch", "context").mapInArrow(windows, "ch binary, s long, w binary"), "windows")
-    again = each.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    counted = each.join(again, "w").select("ch", "s", (F.col("s") + 1).alias("e"))
+    piece = kept(hot.select("ch", "off", "context").mapInArrow(pieces, "ch binary, s long, k long, h binary, common binary"), "pieces")
+    distinct = kept(piece.groupBy("h").agg(F.count("*").alias("c"), F.first("common").alias("common"), F.min(F.struct("ch", "s", "k")).alias("at")), "distinct")
+    near = kept(distinct.groupBy("common").agg(F.count("*").alias("m")).where("m > 1").select("common"), "near")
+    asked = distinct.join(near, "common").groupBy("at.ch").agg(F.collect_list(F.struct("h", "at.s", "at.k")).alias("cuts"))
+    each = asked.join(hot.select("ch", "context"), "ch").select("context", "cuts").mapInArrow(windows, "h binary, i long, w binary")
+    each = kept(each, "windows")
+    again = kept(each.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w"), "again")
+    partly = each.join(again, "w").groupBy("h").agg(F.collect_list("i").alias("places"))
+    known = distinct.select("h", "c").join(partly, "h", "left").where("c > 1 or places is not null")
+    known = kept(known.select("h", F.when(F.col("c") == 1, F.col("places")).alias("places")), "known")
+    # A piece that occurs twice counts whole; of another, the windows that do.
+    spans = F.when(F.col("places").isNull(), F.array(F.struct(F.col("s").alias("s"), (F.col("s") + F.col("k")).alias("e")))).otherwise(F.transform("places", lambda i: F.struct((F.col("s") + i).alias("s"), (F.col("s") + i + 1).alias("e"))))
+    counted = piece.join(known, "h").select("ch", F.inline(spans))
     alike = classes.where("c > 1").select("ch", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     told = sorted_.unionByName(counted).unionByName(alike).groupBy("ch").agg(F.collect_list(F.struct("s", "e")).alias("m"))
     told = kept(told, "told")
