@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 WINDOW, SHARE, LONG, INCONSISTENT = 5, 0.5, 16, 0.2
 #: Benchmark windows up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -27,18 +29,25 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(marked, "[^\\p{L}\\p{N}\u0001]+", " "))
 
 
-def template(flat: Column) -> Column:
-    """Placeholders: \x02 name, \x03 number, \x04 unit."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(flat, "\u0001[^ ]+", "\u0002")), r"(^| )\p{N}[^ ]*", "$1\u0003")
-    t = F.regexp_replace(t, r"(^| )\p{N}[^ ]*", "$1\u0003")
-    return F.regexp_replace(t, f"\u0003 ({UNITS})( |$)", "\u0003 \u0004$2")
+def slotted(flat: Column) -> Column:
+    """Lower case, with placeholders \\x02 for names and \\x03 for numbers."""
+    named = F.when(flat.contains("\u0001"), F.regexp_replace(flat, "\u0001[^ ]+", "\u0002")).otherwise(flat)
+    return F.regexp_replace(F.lower(named), r"(^| )\p{N}[^ ]*", "$1\u0003")
+
+
+def template(numbered: Column) -> Column:
+    """The same with \\x04 for units."""
+    return F.when(numbered.contains("\u0003"), F.regexp_replace(numbered, f"\u0003 ({UNITS})( |$)", "\u0003 \u0004$2")).otherwise(numbered)
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, h, value) for every window; value has the window's words where the text has placeholders."""
-    flat = rows.select(key, plain(F.col("text")).alias("flat"))
-    t = flat.select(key, template(F.col("flat")).alias("template"), F.lower(F.translate("flat", "\u0001", "")).alias("words"))
-    t = t.select(key, F.split("template", " ").alias("t"), F.when(F.col("template").rlike("[\u0002-\u0004]"), F.split("words", " ")).alias("w"))
+    # Each step goes through a generator of one row, so that no step's pattern is evaluated again by a later one.
+    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    flat = rows.select(key, once(flat=plain(F.col("text"))))
+    t = flat.select(key, once(numbered=slotted(F.col("flat")), words=F.lower(F.translate("flat", "\u0001", ""))))
+    t = t.select(key, "words", once(template=template(F.col("numbered"))))
+    t = t.select(key, once(t=F.split("template", " "), w=F.when(F.col("template").rlike("[\u0002-\u0004]"), F.split("words", " "))))
     t = t.where(F.size("t") >= WINDOW)
     each = F.transform(
         F.sequence(F.lit(0), F.size("t") - WINDOW),
@@ -66,9 +75,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = F.broadcast(items)
     hits = windows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").join(items, "h")
     pair = ["doc_id", "item_id"]
-    # One row per pair and distinct window first, so that a repeated window is one row after pre-aggregation.
+    # Kept, since it is read twice. One row per pair and distinct window first, so that a repeated window is one row after pre-aggregation.
     slot = F.when(F.col("ivalue").isNotNull() & F.col("value").isNotNull(), F.filter(F.arrays_zip(F.col("ivalue").alias("i"), F.col("value").alias("d"), F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.col("ipos") + k).alias("at")), lambda x: x["i"].isNotNull()))
-    aligned = hits.select(*pair, "h", "windows", (F.col("pos") - F.col("ipos")).alias("shift"), slot.alias("slots"))
+    aligned = kept(hits.select(*pair, "h", "windows", (F.col("pos") - F.col("ipos")).alias("shift"), slot.alias("slots")), "aligned")
     seen = aligned.groupBy(*pair, "h").agg(F.first("windows").alias("windows")).groupBy(*pair).agg(F.count("*").alias("matched"), F.first("windows").alias("windows"))
     values = aligned.where("slots is not null").select(*pair, "shift", F.explode("slots").alias("s")).select(*pair, "shift", "s.i", "s.d", "s.at").distinct()
     values = values.groupBy(*pair, "shift", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n"))
