@@ -9,11 +9,6 @@ import uuid
 
 import numpy as np
 
-_POP = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-#: Place of the k-th set bit in a byte.
-_SELECT = np.array([[([b for b in range(8) if x >> b & 1] + [8] * 8)[k] for k in range(8)] for x in range(256)], np.uint8)
-ONE = np.uint64(1)
-
 
 def local_path(uri: str) -> str:
     """The path of a file URI, or of a plain path."""
@@ -60,6 +55,7 @@ def read_file(uri: str) -> tuple[dict[str, np.ndarray], dict]:
             raw = np.memmap(t, np.uint8, mode="r")
     else:
         raw = np.memmap(local_path(uri), np.uint8, mode="r")
+    raw = np.asarray(raw)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     at = 8 + n
@@ -112,13 +108,16 @@ class EliasFano:
     def _select(self, k: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
         word = np.searchsorted(counts, k.astype(counts.dtype), side="right") - 1
         rest = k - counts[word].astype(np.int64)
-        w = self.high[word]
-        byte = (~w if flip else w).view(np.uint8).reshape(-1, 8)
-        run = np.cumsum(_POP[byte], axis=1, dtype=np.int16)
-        b = (run <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
-        before = np.where(b > 0, run[rows, b - 1], 0)
-        return word * 64 + b * 8 + _SELECT[byte[rows, b], rest - before]
+        w = ~self.high[word] if flip else self.high[word]
+        at = word << 6
+        # Halve the word until the bit is found.
+        for width in (32, 16, 8, 4, 2, 1):
+            below = np.bitwise_count(w & np.uint64((1 << width) - 1)).astype(np.int64)
+            on = rest >= below
+            rest = rest - below * on
+            at += on * width
+            w = w >> (on * width).astype(np.uint64)
+        return at
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at ``i``."""

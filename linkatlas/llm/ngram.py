@@ -33,6 +33,8 @@ ID_BITS = 31
 #: Words or pairs that a shard is meant to hold at most, on average.
 WORDS_PER_SHARD, PAIRS_PER_SHARD = 1 << 18, 1 << 20
 FLOOR = 16.0
+#: Words whose ids a task remembers, and tokens that it scores at once.
+REMEMBERED, AT_ONCE = 500_000, 500_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -52,7 +54,11 @@ class Words:
         self.bits, self.base = model["word_bits"], model["base"]
         self.shards = [None if not n else read_file(f"{model['at']}/words-{s}") for s, n in enumerate(np.diff(self.base))]
         self.ef = [x and EliasFano(x[0], "h", x[1]) for x in self.shards]
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place = _Places()
+        self.ids, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, n = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
@@ -70,14 +76,27 @@ class Words:
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts."""
-        new = list(set(words) - self.known.keys())
-        if len(self.known) + len(new) > 400_000:
-            self.known.clear()
-            new = list(set(words))
-        ids, n = self.look(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
-        self.known.update(zip(new, zip(ids.tolist(), n.tolist(), strict=True), strict=True))
-        both = np.array([self.known[w] for w in words], np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        if len(self.place) > REMEMBERED:
+            self._clear()
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if self.place.new:
+            ids, n = self.look(np.array([xxhash.xxh64_intdigest(w) for w in self.place.new], np.uint64))
+            self.ids, self.n = np.concatenate((self.ids, ids)), np.concatenate((self.n, n))
+            self.place.new = []
+        return self.ids[at], self.n[at]
+
+
+class _Places(dict):
+    """Word to its place in order of arrival; new ones are noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
 
 class Pairs:
@@ -91,7 +110,7 @@ class Pairs:
             self.shards.append(x and ({k: EliasFano(x[0], k, x[1]) for k in ("context", "pointer", "child")}, x[0]["logp"]))
 
     def look(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | v), not a number where the pair is not in the trie."""
+        """log10 P(w | v) of pairs in ascending order, not a number where the trie has none."""
         out = np.full(len(v), np.nan)
         shard = (v ^ w) & self.mask
         order = np.argsort(shard, kind="stable")
@@ -101,10 +120,17 @@ class Pairs:
             if x is None or not len(at):
                 continue
             ef, logp = x
-            k = ef["context"].find(v[at].astype(np.uint64))
-            at, k = at[k >= 0], k[k >= 0]
-            lo, hi = ef["pointer"].get(k).astype(np.int64), ef["pointer"].get(k + 1).astype(np.int64)
+            # Pairs come in order, so a context's pairs are neighbours: each context is looked up once.
+            own = v[at]
+            first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+            k = ef["context"].find(own[first].astype(np.uint64))
+            held = np.flatnonzero(k >= 0)
+            ends = ef["pointer"].get(np.concatenate((k[held], k[held] + 1))).astype(np.int64)
+            lo, hi = ends[: len(held)], ends[len(held) :]
             base = np.where(lo > 0, ef["child"].get(np.maximum(lo - 1, 0)), np.uint64(0))
+            times = np.diff(np.concatenate((first, [len(at)])))
+            at = at[np.repeat(k >= 0, times)]
+            lo, hi, base = (np.repeat(x, times[held]) for x in (lo, hi, base))
             c = ef["child"].find(w[at].astype(np.uint64) + base, lo, hi)
             out[at[c >= 0]] = logp[c[c >= 0]] * (-FLOOR / 65535)
         return out
@@ -233,7 +259,7 @@ def train(docs: DataFrame, mu: float = MU) -> dict:
     return model
 
 
-def _some(texts: list[bytes], most: int = 200_000) -> Iterator[list[bytes]]:
+def _some(texts: list[bytes], most: int = AT_ONCE) -> Iterator[list[bytes]]:
     """The tokens of several texts together, about ``most`` at a time; a long text may be more."""
     part: list[bytes] = []
     for t in texts:
@@ -279,7 +305,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
                 got = tokens(t)
                 words += got
                 lengths.append(len(got))
-                if len(words) > 200_000:
+                if len(words) > AT_ONCE:
                     flush()
             if lengths:
                 flush()
