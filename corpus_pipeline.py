@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkatlas.llm import decontam, mixing, simhash, suffix, toxicity
-from linkatlas.llm.common import kept
+from linkatlas.llm import decontam, mixing, nearcopies, simhash, suffix, toxicity
+from linkatlas.llm.common import components, kept
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group; documents without an id stay."""
-    groups = simhash.simhash_groups(docs)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps one document of each near-duplicate group; documents without an id stay.
+
+    Links are fingerprints within two bits, and five-word shingle sets with a Jaccard similarity of 0.8 or more.
+    """
+    two_bits = simhash.simhash_groups(docs).where("doc_id is not null").select("doc_id", "component_id").distinct()
+    both = kept(two_bits.join(nearcopies.near_groups(docs).distinct(), "doc_id"), "links")
+    roots = kept(components(both.select(F.col("component_id").alias("u"), F.col("near_id").alias("v"))), "roots")
+    groups = both.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("root"))
+    stays = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(stays, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

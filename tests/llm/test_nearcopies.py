@@ -1,0 +1,43 @@
+"""Near copies against exact similarities of all pairs."""
+
+import random
+
+import corpus_pipeline
+
+from linkatlas.llm import nearcopies, simhash
+from test_operators import docs_of
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "one two"), (None, "one two")]
+    for k in range(30):
+        base = text(rng.randint(60, 300))
+        rows.append((100 + 20 * k, " ".join(base)))
+        for j in range(1, 6 if k else 19):
+            edited = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 60))):
+                edited[rng.randrange(len(base))] = "changed"
+            rows.append((100 + 20 * k + j, " ".join(edited)))
+    ids = [i for i, _ in rows if i is not None]
+    sets = {i: set(nearcopies.shingles((t or "").encode()).tolist()) for i, t in rows if i is not None}
+    fp = {i: simhash.fingerprint((t or "").encode(), 3) for i, t in rows if i is not None}
+    near = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+
+    def least(link):
+        root = {i: i for i in ids}
+        for _ in ids:
+            new = {i: min([root[i]] + [root[j] for j in ids if link(i, j)]) for i in ids}
+            if new == root:
+                return root
+            root = new
+
+    docs = docs_of(spark, rows, extra=True)
+    want = least(near)
+    assert {r.doc_id: r.near_id for r in nearcopies.near_groups(docs).collect()} == want
+    assert sum(i != r for i, r in want.items()) > 100
+    got = [r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()]
+    both = least(lambda a, b: near(a, b) or (fp[a] ^ fp[b]).bit_count() <= 2)
+    assert sorted(i for i in got if i is not None) == sorted(set(both.values())) and got.count(None) == 1
+    assert nearcopies.near_groups(docs_of(spark, [])).count() == 0
