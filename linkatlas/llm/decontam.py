@@ -10,7 +10,7 @@ it is DataFrame functions; windows travel as hashes, texts never.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept
@@ -63,7 +63,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds the item: matched, windows, share, slots, changed.
 
     Held means at least ``SHARE`` of the item's windows or ``LONG`` of them match, and at most
-    ``INCONSISTENT`` of its aligned slots stand for two values at once. ``changed`` counts slots whose
+    ``INCONSISTENT`` of the aligned slots stand for two values at once, in any one alignment (a shift, or
+    a cluster of shifts with gaps of up to ``WINDOW``, as insertions make) or over all of them. The
+    counts that are returned are over all alignments. ``changed`` counts slots whose
     value differs from the benchmark's: above zero, the question was re-parameterised. Texts or items
     that are null or have fewer than five tokens never match. Rows that share an id count as one
     document (or item), null ids included; empty tables give no rows; other columns are ignored.
@@ -80,7 +82,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     aligned = kept(hits.select(*pair, "h", "windows", (F.col("pos") - F.col("ipos")).alias("shift"), slot.alias("slots")), "aligned")
     seen = aligned.groupBy(*pair, "h").agg(F.first("windows").alias("windows")).groupBy(*pair).agg(F.count("*").alias("matched"), F.first("windows").alias("windows"))
     values = aligned.where("slots is not null").select(*pair, "shift", F.explode("slots").alias("s")).select(*pair, "shift", "s.i", "s.d", "s.at").distinct()
-    values = values.groupBy(*pair, "shift", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n"))
+    values = kept(values.groupBy(*pair, "shift", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")), "values")
+    sound = _sound(aligned, values, pair)
     values = values.groupBy(*pair).agg(
         F.sum("n").alias("slots"), F.sum(F.when(F.col("lo") != F.col("hi"), F.col("n")).otherwise(0)).alias("torn"),
         F.sum(F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != F.col("i")), F.col("n")).otherwise(0)).alias("changed"),
@@ -89,8 +92,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = seen.join(values, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
     none = F.lit(0).cast("long")
     both = both.select(*pair, "matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), F.coalesce("slots", none).alias("slots"), F.coalesce("changed", none).alias("changed"), F.coalesce("torn", none).alias("torn"))
-    held = ((F.col("share") >= SHARE) | (F.col("matched") >= LONG)) & (F.col("torn") <= F.col("slots") * INCONSISTENT)
-    return both.where(held).drop("torn")
+    both = both.join(sound, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
+    held = ((F.col("share") >= SHARE) | (F.col("matched") >= LONG)) & ((F.col("torn") <= F.col("slots") * INCONSISTENT) | F.col("sound").isNotNull())
+    return both.where(held).drop("torn", "d", "i", "sound")
+
+
+def _sound(aligned: DataFrame, values: DataFrame, pair: list[str]) -> DataFrame:
+    """The pairs (d, i) that one alignment holds by itself: a shift, or a cluster of neighbouring shifts."""
+    order = Window.partitionBy(*pair).orderBy("shift")
+    gap = F.col("shift") - F.lag("shift").over(order)
+    shifts = aligned.select(*pair, "shift").distinct().withColumn("new", F.when(gap <= WINDOW, 0).otherwise(1))
+    shifts = shifts.select(*pair, "shift", F.sum("new").over(order).alias("cluster"))
+    each = F.array(F.struct(F.lit(0).alias("kind"), F.col("shift").cast("long").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("cluster").alias("at")))
+    shifts = kept(shifts.select(F.col("doc_id").alias("d0"), F.col("item_id").alias("i0"), F.col("shift").alias("s0"), F.explode(each).alias("alignment")), "alignments")
+    here = F.col("doc_id").eqNullSafe(F.col("d0")) & F.col("item_id").eqNullSafe(F.col("i0")) & (F.col("shift") == F.col("s0"))
+    by = [*pair, "alignment"]
+    full = aligned.join(shifts, here).groupBy(*by, "h").agg(F.first("windows").alias("windows")).groupBy(*by).agg(F.count("*").alias("matched"), F.first("windows").alias("windows"))
+    full = full.where((F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= LONG)).select(*by)
+    torn = values.join(shifts, here).groupBy(*by).agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("lo") != F.col("hi"), F.col("n")).otherwise(0)).alias("torn"))
+    torn = torn.where(F.col("torn") > F.col("slots") * INCONSISTENT).select(F.col("doc_id").alias("d0"), F.col("item_id").alias("i0"), F.col("alignment").alias("a0"))
+    bad = F.col("doc_id").eqNullSafe(F.col("d0")) & F.col("item_id").eqNullSafe(F.col("i0")) & (F.col("alignment") == F.col("a0"))
+    return full.join(torn, bad, "left_anti").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.lit(True).alias("sound")).distinct()
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
