@@ -5,7 +5,8 @@ neighbours make a node, up to one root per file and then one root over all files
 compared from the top: each level joins only the children of nodes that differed one level above, so
 an intact replica costs one row, and a corrupt byte a path. Files are ranges of ids that hold
 ``PER_FILE`` records, so sorting and offsets stay within small groups; a file swollen by repeated ids is
-cut into parts by digest. All of it is DataFrame functions.
+cut into parts. ``written`` fixes each record's file, number and offset when the archive is made, and
+replicas carry them along: what corruption changes never moves a record. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -29,27 +30,49 @@ def record_bytes(url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Records in place: page_id, file, seq, offset, length, digest (of the bytes), hash (of place and digest).
+def _placed(pages: DataFrame, part: list[str], order: list[str], per_file: int, *extra: Column) -> DataFrame:
+    """Equal records as one row: page_id, file, length, digest, the extra columns, copies, and the first copy's number and offset.
 
-    Order within a file is (page_id, digest). Null ids share file "none"; equal rows are all kept, one
-    after the other. Url and html may be null or empty.
+    Swollen files are cut by a hash of ``part``; the order within a file is ``order``.
     """
     text = record_bytes(F.col("url"), F.col("html"))
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), text.alias("text"))
-    made = made.select("page_id", F.octet_length("text").cast("long").alias("length"), F.sha2("text", 256).alias("digest"))
-    # Equal records travel as one row with a count, and swollen files are cut by digest.
-    made = made.withColumn("range", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-(1 << 62)))).groupBy("range", "page_id", "digest", "length").agg(F.count("*").alias("copies"))
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"), *extra)
+    # Equal records travel as one row with a count.
+    made = made.withColumn("range", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-(1 << 62)))).groupBy("range", "page_id", "url", "digest", "length").agg(F.count("*").alias("copies"), *[F.first(n).alias(n) for n in made.columns[4:]])
     made = kept(made, "records")
     swollen = made.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("range", F.ceil(F.col("n") / per_file).alias("parts"))
     made = made.join(swollen, "range", "left")
-    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "digest"), F.col("parts")))
-    made = made.withColumn("part", part.cast("long")).withColumn("file", F.when(F.col("page_id").isNull(), "none").otherwise(F.lpad(F.col("range").cast("string"), 12, "0")))
+    number = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*part), F.col("parts")))
+    made = made.withColumn("part", number.cast("long")).withColumn("file", F.when(F.col("page_id").isNull(), "none").otherwise(F.lpad(F.col("range").cast("string"), 12, "0")))
     made = made.withColumn("file", F.concat_ws("-", "file", F.lpad(F.col("part").cast("string"), 6, "0")))
-    w = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     made = made.withColumn("at", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(w), F.lit(0))).withColumn("first", F.coalesce(F.sum("copies").over(w), F.lit(0)))
     each = made.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    each = each.select("page_id", "file", (F.col("first") + F.col("copy")).alias("seq"), (F.col("at") + F.col("copy") * F.col("length")).alias("offset"), "length", "digest")
+    return each.withColumn("seq", F.col("first") + F.col("copy")).withColumn("offset", F.col("at") + F.col("copy") * F.col("length"))
+
+
+def written(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """The archive's records with the places they are written to: page_id, url, html, warc_file, warc_seq, warc_offset.
+
+    Order within a file is (page_id, digest); swollen files are cut by a hash of both. Null ids share
+    file "none"; equal rows are all kept, one after the other. Url and html may be null or empty.
+    """
+    made = _placed(pages, ["page_id", "digest"], ["page_id", "digest"], per_file, F.col("html").alias("html"))
+    return kept(made.select("page_id", "url", "html", F.col("file").alias("warc_file"), F.col("seq").alias("warc_seq"), F.col("offset").alias("warc_offset")), "written")
+
+
+def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """Records in place: page_id, file, seq, offset, length, digest (of the bytes), hash (of place and digest).
+
+    Places are those of ``written`` where its columns are there. Else order within a file is (page_id,
+    url, digest) and swollen files are cut by a hash of page_id and url, so that only records that share
+    both can change places when one's content does.
+    """
+    if "warc_seq" in pages.columns:
+        text = record_bytes(F.col("url"), F.col("html"))
+        each = pages.select("page_id", F.col("warc_file").alias("file"), F.col("warc_seq").alias("seq"), F.col("warc_offset").alias("offset"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
+    else:
+        each = _placed(pages, ["page_id", "url"], ["page_id", "url", "digest"], per_file).select("page_id", "file", "seq", "offset", "length", "digest")
     return each.withColumn("hash", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256))
 
 
@@ -119,7 +142,7 @@ def audit_report(pages: DataFrame, replica: DataFrame) -> DataFrame:
 
 def op10_merkle_audit(spark, sf_dir: str) -> DataFrame:
     """Audits a replica in which one byte of each page with page_id % 97 = 5 has been flipped."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = written(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     flipped = F.concat(F.lit("~"), F.expr("substring(html, 2)"))
     replica = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, flipped).otherwise(F.col("html")))
     return audit_report(pages, replica)
