@@ -8,17 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes an Arrow batch may hold: one task keeps a few batches, whatever the rows' lengths.
 BATCH_BYTES = 8 << 20
+#: The bytes that part words.
+SPACES = b"\t\n\x0b\x0c\r "
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` if set, else a new local one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local master without it gets a new one (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="linkatlas-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,6 +48,22 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Held:
+    """Tables that one operator writes on its way; ``drop`` deletes them once its result stands in a table of its own."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(kept(df, name))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        for t in self.tables:
+            drop(t)
+        self.tables = []
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes and rows; a single longer row still passes whole."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -61,6 +81,22 @@ def ascii_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def text_key(text: str = "text") -> Column:
+    """A text's key: 128 bits of its SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)), 1, 16)
+
+
+def word_batches(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """``ascii_words`` of about ``most`` bytes at a time, so that a long text is never all words at once."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and text[end] not in SPACES:
+            end += 1
+        yield ascii_words(text[at:end])
+        at = end
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """From batches sorted by integer ``keys`` without nulls, tables that each hold whole groups."""
     held: list[pa.RecordBatch] = []

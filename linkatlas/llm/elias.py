@@ -62,6 +62,21 @@ def read_file(uri: str) -> tuple[dict[str, np.ndarray], dict]:
     return {k: raw[at + a : at + a + size * np.dtype(d).itemsize].view(d) for k, (d, a, size) in head["arrays"].items()}, head["meta"]
 
 
+class Shards(dict):
+    """Files by number, opened when first asked for; one that was never written is None."""
+
+    def __init__(self, stem: str, load) -> None:
+        super().__init__()
+        self.stem, self.load = stem, load
+
+    def __missing__(self, k: int):
+        try:
+            self[k] = self.load(*read_file(f"{self.stem}-{k}"))
+        except FileNotFoundError:
+            self[k] = None
+        return self[k]
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary, with running counts per 64-bit word."""
 

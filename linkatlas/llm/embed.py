@@ -1,11 +1,12 @@
 """Near-duplicate vectors by Euclidean p-stable hashing with exact cosine checks.
 
-Unit vectors with cosine c lie sqrt(2 - 2c) apart. Each table hashes a vector to the quantised offsets
-of ``WIDTH``-wide cells along ``PROJECTIONS`` Gaussian directions; vectors that share a table's cell
-are compared in double precision. With the figures below a pair at cosine 0.95 meets in one of the
-tables with probability 0.94, one at 0.97 with 0.996; unrelated vectors (cosine near 0) meet in a
-given table once in half a million pairs. The index draws its directions at random from a fixed seed
-and holds every row; nothing is fitted on a sample.
+Unit vectors with cosine c lie sqrt(2 - 2c) apart. Each table hashes a vector to the quantised offsets of
+``WIDTH``-wide cells along some Gaussian directions; vectors that share a table's cell are compared in
+double precision. The directions to a table grow with the logarithm of the number of vectors, so that an
+unrelated one (cosine near 0) is met ``STRAYS`` times a table, and the tables are as many as a pair at
+the threshold needs to meet ``MEETINGS`` times on average: it is missed with a chance of exp(-MEETINGS), 0.07,
+and closer pairs with less. The index draws its directions at random from a fixed seed and holds every row;
+nothing is fitted on a sample.
 
 Equal vectors are one entry with a count. A cell is worked off in blocks of ``BLOCK`` vectors against
 each other, spread over tasks; a block yields a count for each vector and a spanning forest of its
@@ -14,6 +15,7 @@ links, never the pairs. A pair counts in the first table where it meets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,49 +23,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounds, components, grouped, kept
+from .common import Held, bounded_batches, bounds, components, grouped, kept
 
-TABLES, PROJECTIONS, WIDTH, SEED = 40, 12, 1.26, 7
-BLOCK = 256
+WIDTH, SEED, STRAYS, MEETINGS, BLOCK = 2.0, 7, 0.01, 2.7, 512
 
 
-def units(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def same_cell(distance: float, width: float = WIDTH) -> float:
+    """The chance that two points so far apart fall in one cell along a Gaussian direction."""
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def layout(n: int, least_cos: float = 0.95) -> tuple[int, int]:
+    """Directions to a table, and tables, for n vectors."""
+    directions = max(1, math.ceil(math.log(max(n, 2) / STRAYS) / -math.log(same_cell(math.sqrt(2)))))
+    return directions, math.ceil(MEETINGS / same_cell(math.sqrt(max(2 - 2 * least_cos, 1e-12))) ** directions)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
-    """The key of each vector's cell in each table."""
-    rng = np.random.default_rng([SEED, unit.shape[1], tables, projections])
-    a = rng.standard_normal((unit.shape[1], tables * projections))
-    at = np.floor(unit @ (a / width) + rng.random(tables * projections)).astype(np.int64).view(np.uint64)
-    at = at.reshape(len(unit), tables, projections)
-    key = np.full(at.shape[:2], unit.shape[1], np.uint64)
-    for k in range(projections):
-        key = (key ^ at[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _block(table: int, cid: np.ndarray, copies: np.ndarray, side: np.ndarray, rows: list, least_cos: float) -> tuple[np.ndarray, np.ndarray]:
+def cells(unit: np.ndarray, directions: int, tables: int, some: int = 1 << 23) -> np.ndarray:
+    """The key of each vector's cell in each of ``tables``."""
+    rng = np.random.default_rng([SEED, unit.shape[1], directions, tables])
+    a = rng.standard_normal((unit.shape[1], tables * directions), np.float32) / np.float32(WIDTH)
+    shift = rng.random(tables * directions, np.float32)
+    out = np.empty((len(unit), tables), np.int64)
+    step = max(1, some // (tables * directions))
+    for at in range(0, len(unit), step):
+        q = np.floor(unit[at : at + step].astype(np.float32) @ a + shift).astype(np.int64).view(np.uint64).reshape(-1, tables, directions)
+        key = np.full(q.shape[:2], unit.shape[1], np.uint64)
+        for k in range(directions):
+            key = (key ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[at : at + step] = key.view(np.int64)
+    return out
+
+
+def _block(table: int, copies: np.ndarray, side: np.ndarray, x: np.ndarray, least_cos: float, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """For the vectors of one block pair: links first met in ``table``, and each one's root among the block's links."""
-    unit = units(rows)
+    unit = units(x)
     link = unit @ unit.T >= least_cos
     np.fill_diagonal(link, False)
     if side.any() and not side.all():
         link &= side[:, None] != side[None, :]
     a, b = np.nonzero(link)
-    root = np.arange(len(cid))
+    root = np.arange(len(x))
     if not len(a):
-        return np.zeros(len(cid), np.int64), root
+        return np.zeros(len(x), np.int64), root
     fresh = np.ones(len(a), bool)
     if table:
-        key = cells(unit)[:, :table]
+        # Only vectors that have a link are hashed again, to see whether an earlier table has it too.
+        linked, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        key = cells(unit[linked], *shape)[:, :table]
+        pa_, pb = place[: len(a)], place[len(a) :]
         for at in range(0, len(a), 1 << 14):
             s = slice(at, at + (1 << 14))
-            fresh[s] = ~(key[a[s]] == key[b[s]]).any(1)
-    n = np.bincount(a[fresh], weights=copies[b[fresh]], minlength=len(cid)).astype(np.int64)
+            fresh[s] = ~(key[pa_[s]] == key[pb[s]]).any(1)
+    n = np.bincount(a[fresh], weights=copies[b[fresh]], minlength=len(x)).astype(np.int64)
     while True:
         new = root.copy()
         np.minimum.at(new, a, root[b])
@@ -73,6 +92,13 @@ def _block(table: int, cid: np.ndarray, copies: np.ndarray, side: np.ndarray, ro
         root = new
 
 
+def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins and the last ends."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+
+
 def vector_links(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -82,44 +108,50 @@ def vector_links(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
+    keep = Held()
     v = F.col("embedding")
     sound = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("embedding")).withColumn("cid", F.when(sound, F.xxhash64(v)))
-    ids = rows.select("vec_id", "cid")
-    classes = kept(rows.where("cid is not null").groupBy("cid").agg(F.first("embedding").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies")), "vectors")
+    # Equal vectors by 128 bits of hash.
+    rows = vectors.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("embedding"))
+    rows = rows.withColumn("a", F.when(sound, F.xxhash64(v))).withColumn("b", F.when(sound, F.xxhash64(F.lit("b"), v)))
+    ids = rows.select("vec_id", "a", "b")
+    classes = rows.where("a is not null").groupBy("a", "b").agg(F.first("embedding").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = keep(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    shape = layout(classes.count(), least_cos)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, lengths = b.column(1), np.diff(b.column(1).offsets.to_numpy())
-            for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                flat = np.stack([lists[int(i)].values.to_numpy() for i in at])
-                out = cells(units(flat))
-                yield pa.record_batch([b.column(0).take(pa.array(at)), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), TABLES).cast(pa.list_(pa.int64()))], names=["cid", "keys"])
-
-    post = classes.select("cid", "v").mapInArrow(keys, "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("t", "key"))
-    post = kept(post, "cells")
-    lists = post.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+            values, at = _rows(b.column(1))
+            size = np.diff(at)
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                out = cells(units(values[at[own][:, None] + np.arange(d)]), *shape)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * shape[1], pa.int32()), pa.array(out.ravel()))
+                yield pa.record_batch([b.column(0).take(pa.array(own)), pa.array(np.full(len(own), d, np.int64)), lists], names=["cid", "d", "keys"])
+
+    hashed = keep(classes.select("cid", "v").mapInArrow(keys, "cid long, d long, keys array<long>"), "keys")
+    post = hashed.select("cid", "d", F.posexplode("keys").alias("t", "key"))
+    cell = ["t", "key", "d"]
+    lists = keep(post.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1"), "lists")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     met = (
-        post.join(lists, ["t", "key"]).withColumn("blocks", blocks).withColumn("own", own)
+        post.join(lists, cell).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
+        .select(*cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
     )
     full = met.join(classes.select("cid", "v", "copies"), "cid")
-    order = ["t", "key", "i", "j"]
+    order = [*cell, "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, order):
             cut = bounds(table, order)
             t, cid, copies = (table.column(c).to_numpy() for c in ("t", "cid", "copies"))
-            side = (table.column("own").to_numpy() == table.column("i").to_numpy())
-            v = table.column("v")
+            side = table.column("own").to_numpy() == table.column("i").to_numpy()
+            values, at = _rows(table.column("v"))
             ids, counts, roots = [], [], []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b - a > 1:
-                    n, root = _block(int(t[a]), cid[a:b], copies[a:b], side[a:b], v.slice(a, b - a).to_pylist(), least_cos)
+                    n, root = _block(int(t[a]), copies[a:b], side[a:b], values[at[a] : at[b]].reshape(b - a, -1), least_cos, shape)
                     hit = np.flatnonzero((n > 0) | (root != np.arange(b - a)))
                     ids.append(cid[a:b][hit])
                     counts.append(n[hit])
@@ -128,14 +160,15 @@ def vector_links(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, counts, roots)], names=["cid", "n", "root"])
 
     found = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    found = kept(found.mapInArrow(compare, "cid long, n long, root long"), "found")
+    found = keep(found.mapInArrow(compare, "cid long, n long, root long"), "found")
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    known = classes.select("cid", "least", "copies").join(found.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left")
-    known = kept(known.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "known")
-    least = kept(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    final = kept(known.join(least, "root").select("cid", "n_links", "component_id"), "final")
-    linked = ids.where("cid is not null").join(final, "cid").select("vec_id", "n_links", "component_id")
-    alone = ids.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    known = classes.select("cid", "a", "b", "least", "copies").join(found.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left")
+    known = keep(known.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("a", "b", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "known")
+    least = keep(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    final = kept(known.join(least, "root").select("a", "b", "n_links", "component_id"), "final")
+    keep.drop()
+    linked = ids.where("a is not null").join(final, ["a", "b"]).select("vec_id", "n_links", "component_id")
+    alone = ids.where("a is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -30,49 +30,41 @@ def record_bytes(url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def _placed(pages: DataFrame, part: list[str], order: list[str], per_file: int, *extra: Column) -> DataFrame:
-    """Equal records as one row: page_id, file, length, digest, the extra columns, copies, and the first copy's number and offset.
+def written(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """The archive's records with the places they are written to: page_id, url, html, warc_file, warc_seq, warc_offset.
 
-    Swollen files are cut by a hash of ``part``; the order within a file is ``order``.
+    This is the one layout of an archive and its replicas. Order within a file is (page_id, digest); files
+    swollen by repeated ids are cut by a hash of both. Null ids share file "none"; equal rows are all kept, one
+    after the other. Url and html may be null or empty; an empty table has no records.
     """
     text = record_bytes(F.col("url"), F.col("html"))
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"), *extra)
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
     # Equal records travel as one row with a count.
-    made = made.withColumn("range", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-(1 << 62)))).groupBy("range", "page_id", "url", "digest", "length").agg(F.count("*").alias("copies"), *[F.first(n).alias(n) for n in made.columns[4:]])
+    made = made.withColumn("range", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-(1 << 62))))
+    made = made.groupBy("range", "page_id", "digest", "length").agg(F.count("*").alias("copies"), F.first("url").alias("url"), F.first("html").alias("html"))
     made = kept(made, "records")
     swollen = made.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("range", F.ceil(F.col("n") / per_file).alias("parts"))
-    made = made.join(swollen, "range", "left")
-    number = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*part), F.col("parts")))
-    made = made.withColumn("part", number.cast("long")).withColumn("file", F.when(F.col("page_id").isNull(), "none").otherwise(F.lpad(F.col("range").cast("string"), 12, "0")))
-    made = made.withColumn("file", F.concat_ws("-", "file", F.lpad(F.col("part").cast("string"), 6, "0")))
-    w = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    made = made.join(kept(swollen, "swollen"), "range", "left")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "digest"), F.col("parts"))).cast("long")
+    name = F.when(F.col("page_id").isNull(), "none").otherwise(F.lpad(F.col("range").cast("string"), 12, "0"))
+    made = made.withColumn("file", F.concat_ws("-", name, F.lpad(part.cast("string"), 6, "0")))
+    w = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     made = made.withColumn("at", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(w), F.lit(0))).withColumn("first", F.coalesce(F.sum("copies").over(w), F.lit(0)))
     each = made.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return each.withColumn("seq", F.col("first") + F.col("copy")).withColumn("offset", F.col("at") + F.col("copy") * F.col("length"))
-
+    each = each.select("page_id", "url", "html", F.col("file").alias("warc_file"), (F.col("first") + F.col("copy")).alias("warc_seq"), (F.col("at") + F.col("copy") * F.col("length")).alias("warc_offset"))
+    return kept(each, "written")
 
-def written(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """The archive's records with the places they are written to: page_id, url, html, warc_file, warc_seq, warc_offset.
 
-    Order within a file is (page_id, digest); swollen files are cut by a hash of both. Null ids share
-    file "none"; equal rows are all kept, one after the other. Url and html may be null or empty.
-    """
-    made = _placed(pages, ["page_id", "digest"], ["page_id", "digest"], per_file, F.col("html").alias("html"))
-    return kept(made.select("page_id", "url", "html", F.col("file").alias("warc_file"), F.col("seq").alias("warc_seq"), F.col("offset").alias("warc_offset")), "written")
-
-
-def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+def leaves(records: DataFrame) -> DataFrame:
     """Records in place: page_id, file, seq, offset, length, digest (of the bytes), hash (of place and digest).
 
-    Places are those of ``written`` where its columns are there. Else order within a file is (page_id,
-    url, digest) and swollen files are cut by a hash of page_id and url, so that only records that share
-    both can change places when one's content does.
+    Places are those of ``written``, which replicas carry along; a table without them is an error, since
+    numbers counted anew would move with every lost or added record.
     """
-    if "warc_seq" in pages.columns:
-        text = record_bytes(F.col("url"), F.col("html"))
-        each = pages.select("page_id", F.col("warc_file").alias("file"), F.col("warc_seq").alias("seq"), F.col("warc_offset").alias("offset"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
-    else:
-        each = _placed(pages, ["page_id", "url"], ["page_id", "url", "digest"], per_file).select("page_id", "file", "seq", "offset", "length", "digest")
+    if missing := {"warc_file", "warc_seq", "warc_offset"} - {*records.columns}:
+        raise ValueError(f"records without places: {sorted(missing)}")
+    text = record_bytes(F.col("url"), F.col("html"))
+    each = records.select("page_id", F.col("warc_file").alias("file"), F.col("warc_seq").alias("seq"), F.col("warc_offset").alias("offset"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
     return each.withColumn("hash", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256))
 
 
@@ -133,11 +125,21 @@ def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return out.select("file", F.col("idx").alias("seq"), F.col("ha").alias("hash"), F.col("hb").alias("replica_hash"))
 
 
-def audit_report(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of ``pages`` in its place, with ok false where the replica's differs."""
-    a, b = kept(leaves(pages), "leaves"), kept(leaves(replica), "leaves")
-    bad = audit(a, b).select("file", "seq", F.lit(True).alias("bad"))
-    return a.join(bad, ["file", "seq"], "left").select("page_id", "file", "seq", "offset", "length", "digest", F.col("bad").isNull().alias("ok"))
+def audit_report(records: DataFrame, replica: DataFrame) -> DataFrame:
+    """Every record of an archive in its place, ok false where the replica's differs or is lost, and what only the replica has.
+
+    Both have the columns of ``written``. A record that only the replica has comes with its own place and ok
+    false. Null urls and texts count as empty, null ids are one file's; a place that stands twice in a replica is
+    compared with each of them; long records travel as digests; of two empty tables nothing is reported; other columns
+    are ignored.
+    """
+    a, b = kept(leaves(records), "leaves"), kept(leaves(replica), "leaves")
+    bad = kept(audit(a, b).select("file", "seq").distinct(), "bad")
+    place = ["file", "seq"]
+    cols = ["page_id", *place, "offset", "length", "digest"]
+    own = a.join(bad.withColumn("bad", F.lit(True)), place, "left").select(*cols, F.col("bad").isNull().alias("ok"))
+    added = b.join(bad, place, "left_semi").join(a.select(place), place, "left_anti").select(*cols, F.lit(False).alias("ok"))
+    return own.unionByName(added)
 
 
 def op10_merkle_audit(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ quality of the labelled documents). Document rates r >= 0 are then fitted by pro
 squares so that the expected token totals sum(r * tokens * posterior) match the targets. The gradient is
 scaled by the domains' token-weighted second moments. Over all documents, these give steps that never
 overshoot; over those whose rate is above zero, longer steps, which are taken where they bring the
-totals closer. A document's rate follows from its posterior and the list of steps, so that a pass
+totals closer. Steps end when the totals are at the targets, or when a projected step all but leaves the
+rates where they are: nonnegative rates hardly come closer, and the result says that the targets are not met. A document's rate follows from its posterior and the list of steps, so that a pass
 over the posteriors only sends one vector per task; documents are never moved.
 
 The classifier is fitted on at most ``LABELLED`` labelled documents chosen by hash: a bounded sample.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, kept
 from .folds import bounded_sample
 
-LABELLED, WORDS, STEPS, CLOSE, TEMPER = 8_000, 1024, 60, 1e-7, 0.7
+LABELLED, WORDS, CLOSE, FLAT, TEMPER = 8_000, 1024, 1e-7, 2e-3, 0.7
 SHAPES = 7
 
 
@@ -124,71 +125,84 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, k)
 
 
-def fit_rates(members: DataFrame, k: int, targets: np.ndarray | None = None, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The list of steps, the targets and the totals reached; members is (n_tokens, p) and is read once a step.
+def fit_rates(members: DataFrame, k: int, targets: np.ndarray | None = None) -> dict:
+    """The list of ``steps``, the ``targets``, the totals ``reached`` and whether they are ``met``; members is (n_tokens, p) and is read once a step.
 
     Without targets they are the present totals to the power ``TEMPER``, scaled to the same sum.
     """
 
-    def totals(done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def totals(done: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k + k * k)
+            out = np.zeros(k + k * k + 1)
             for b in batches:
-                got = sums(b.column(0).to_numpy().astype(float), _matrix(b.column(1), k), done)
-                out += np.concatenate((got[0], got[1].ravel()))
+                got = sums(b.column(0).to_numpy().astype(float), _matrix(b.column(1), k), done, off)
+                out += np.concatenate((got[0], got[1].ravel(), [got[2]]))
             yield pa.record_batch([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
 
         got = members.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k + k * k)
+        out = np.zeros(k + k * k + 1)
         for r in got:
             out[r["i"]] = r["x"]
-        return out[:k], out[k:].reshape(k, k)
+        return out[:k], out[k:-1].reshape(k, k), float(out[-1])
 
-    return descend(totals, k, targets, steps)
+    return descend(totals, k, targets)
 
 
-def sums(n: np.ndarray, p: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected totals after the steps, and second moments of the documents whose rate is above zero."""
+def sums(n: np.ndarray, p: np.ndarray, done: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected totals after the steps, second moments of the documents whose rate is above zero, and how far a step along ``off`` would still move totals.
+
+    The last is the projected gradient's squared length, weighted by tokens: documents at zero that the step
+    would push further down do not count.
+    """
     r = rates_of(p, done)
     live = p[r > 0]
-    return (n * r) @ p, (live * n[r > 0, None]).T @ live
+    g = p @ off
+    return (n * r) @ p, (live * n[r > 0, None]).T @ live, float((n * np.where((r > 0) | (g < 0), g, 0) ** 2).sum())
 
 
-def descend(totals, k: int, targets: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projected-gradient steps until the totals are within ``CLOSE`` or ``most`` steps are taken."""
+def descend(totals, k: int, targets: np.ndarray | None, most: int = 2000) -> dict:
+    """Projected-gradient steps until the totals are within ``CLOSE`` of the targets, or the plain step would move rates by under ``FLAT``.
+
+    The move is the root mean square over tokens. Neither within ``most`` steps is an error, never a result.
+    """
     done = np.zeros((0, k))
-    now, active = totals(done)
+    now, active, _ = totals(done, np.zeros(k))
     if targets is None:
         targets = np.where(now > 0, now, 0) ** TEMPER
         targets = targets * (now.sum() / max(targets.sum(), 1e-300))
-    scale = lambda m: np.linalg.pinv(m + np.eye(k) * (1e-9 * max(np.trace(m), 1e-300)))
-    safe = scale(active)
+    scale = lambda m: np.linalg.pinv(m + np.eye(k) * (1e-9 * np.trace(m))) if np.trace(m) > 0 else np.zeros((k, k))
+    safe, size, tokens = scale(active), max(1.0, float(np.abs(targets).sum())), float(now.sum())
+    left = np.inf
     for _ in range(most):
         off = now - targets
-        if np.abs(off).max() <= CLOSE * max(1.0, targets.sum()):
-            break
+        met = bool(np.abs(off).max() <= CLOSE * size)
+        if met or left <= FLAT**2 * tokens or not tokens:
+            return {"steps": done, "targets": targets, "reached": now, "met": met}
+        step = safe @ off
         longer = np.vstack([done, scale(active) @ off])
-        after, live = totals(longer)
+        after, live, moved = totals(longer, step)
         if np.linalg.norm(after - targets) >= np.linalg.norm(off):
-            longer = np.vstack([done, safe @ off])
-            after, live = totals(longer)
-        done, now, active = longer, after, live
-    return done, targets, now
+            longer = np.vstack([done, step])
+            after, live, moved = totals(longer, step)
+        done, now, active, left = longer, after, live, moved
+    raise RuntimeError("the rates did not settle")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """For each row: doc_id, n_tokens, domain (the likeliest), p_domain, rate.
+    """For each row: doc_id, n_tokens, domain (the likeliest), p_domain, rate, and of the domain: target, reached, met.
 
-    ``targets`` maps domains to token totals; see ``fit_rates`` for the default. Null and empty texts have
-    no tokens and move nothing, but get the rate their posterior implies. Repeated rows get one rate each;
-    an empty table gives no rows; other columns are ignored.
+    ``targets`` maps domains to token totals; see ``fit_rates`` for the default. ``met`` is false for every row
+    where no nonnegative rates reach all targets; ``reached`` is then the nearest. Null and empty texts have
+    no tokens and move nothing, but get the rate their posterior implies. Of equally likely domains the first by
+    name is named. Repeated rows get one rate each; an empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels)
     names = model["names"]
     k = len(names)
     members = kept(memberships(docs, model), "memberships")
     want = None if targets is None else np.array([targets.get(n, 0.0) for n in names])
-    done, _, _ = fit_rates(members, k, want)
+    fitted = fit_rates(members, k, want)
+    done = fitted["steps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,9 +210,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             if not len(p):
                 continue
             top = p.argmax(1)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([names[i] for i in top], pa.string()), pa.array(p.max(1)), pa.array(rates_of(p, done))], names=["doc_id", "n_tokens", "domain", "p_domain", "rate"])
+            cols = [b.column(0), b.column(1), pa.array([names[i] for i in top], pa.string()), pa.array(p.max(1)), pa.array(rates_of(p, done)), pa.array(fitted["targets"][top]), pa.array(fitted["reached"][top]), pa.array(np.full(len(p), fitted["met"]))]
+            yield pa.record_batch(cols, names=["doc_id", "n_tokens", "domain", "p_domain", "rate", "target", "reached", "met"])
 
-    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, p_domain double, rate double")
+    return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, p_domain double, rate double, target double, reached double, met boolean")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

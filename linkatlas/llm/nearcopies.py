@@ -5,6 +5,9 @@ threshold misses with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6; each is then veri
 similarity. Texts with equal sets are one entry throughout. In a first round each member of a band's
 list is compared with one leader, another in every band; later only pairs that are not yet connected
 are compared, so that a large group of near copies is not expanded into all its pairs.
+
+This is the part of the pipeline's near-duplicate stage that fingerprints cannot do: five-word shingle sets at
+the threshold give fingerprints that differ in about ten of 64 bits, where no positional byte need agree.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, bounded_batches, components, kept, raw_texts
+from .common import Held, bounded_batches, components, kept, raw_texts, text_key, word_batches
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
 #: Shingles whose hashes are mixed at once.
@@ -29,16 +32,24 @@ ODD |= np.uint64(1)
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct XXH64 (seed 42) of the text's shingles, a shorter text being one; none without words."""
-    words = ascii_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
+    found, tail = np.zeros(0, np.uint64), []
+    for words in word_batches(text):
+        words = tail + words
+        if len(words) >= SHINGLE:
+            found = np.union1d(found, _hashes(words, SHINGLE))
+            tail = words[len(words) - SHINGLE + 1 :]
+        else:
+            tail = words
+    return _hashes(tail, len(tail)) if tail and not len(found) else found
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
     flat = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    n = max(1, len(words) - SHINGLE + 1)
-    digest = xxhash.xxh64_intdigest
-    spans = zip((ends - size)[:n].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(flat[a:b], 42) for a, b in spans), np.uint64, n))
+    long = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(long + 1) - 1
+    n = len(words) - size + 1
+    spans = zip((ends - long)[:n].tolist(), ends[size - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(flat[a:b], 42) for a, b in spans), np.uint64, n))
 
 
 def bands(h: np.ndarray) -> list[int]:
@@ -55,55 +66,63 @@ def _signed(h: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t) for t in raw_texts(b.column(1))]
-        cols = [b.column(0), pa.array([_signed(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
-        yield pa.record_batch(cols, names=["doc_id", "set", "size", "bands"])
+        sets = [shingles(t) for t in raw_texts(b.column(2))]
+        cols = [b.column(0), b.column(1), pa.array([_signed(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
+        yield pa.record_batch(cols, names=["doc_id", "th", "set", "size", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t) for t in raw_texts(b.column(1))]
+        sets = [shingles(t) for t in raw_texts(b.column(0))]
         cols = [pa.array([_signed(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
         yield pa.record_batch(cols, names=["set", "hashes"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, keep: Held) -> DataFrame:
     """The pairs (u, v) with a similarity of 4/5 or more."""
     a = sets.select(F.col("set").alias("u"), F.col("hashes").alias("hu"))
     b = sets.select(F.col("set").alias("v"), F.col("hashes").alias("hv"))
     both = F.size(F.array_intersect("hu", "hv"))
     near = pairs.join(a, "u").join(b, "v").where(9 * both >= 4 * (F.size("hu") + F.size("hv")))
-    return kept(near.select("u", "v"), "near")
+    return keep(near.select("u", "v"), "near")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, near_id) per row of ``docs`` with an id: the smallest doc_id that near copies reach.
+    """One row per row of ``docs``: doc_id, th (the text's key), near_root and near_id.
 
-    Texts without words are each others' copies and no others'. Columns other than doc_id and text are ignored.
+    near_root is one value for all near copies that reach each other, near_id their smallest doc_id (null
+    if none has one). Null texts count as empty; texts without words are each others' copies and no others';
+    a long text is read whole, its words a part at a time; repeated rows are repeated; an empty table gives
+    no rows. Columns other than doc_id and text are ignored.
     """
     bounded_batches(docs.sparkSession)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    rows = kept(texts.mapInArrow(_signatures, "doc_id long, set long, size long, bands array<long>"), "signatures")
-    uniq = rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    uniq = kept(uniq, "distinct")
-    post = uniq.where("size > 0").select("set", "least", "size", F.posexplode("bands").alias("k", "key"))
+    keep = Held()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text").cast("binary").alias("raw"))
+    rows = kept(texts.mapInArrow(_signatures, "doc_id long, th binary, set long, size long, bands array<long>"), "signatures")
+    uniq = rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    uniq = keep(uniq, "distinct")
+    post = uniq.where("size > 0").select("set", "one", "size", F.posexplode("bands").alias("k", "key"))
     # A list's leader is its member with the least hash under the band's number.
     lead = post.groupBy("k", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("k", "set").alias("h"), F.col("set").alias("id"), F.col("size").alias("s"))).alias("lead")).where("n > 1")
-    post = kept(post.join(lead, ["k", "key"]).select("k", "key", "set", "least", "size", "lead"), "lists")
-    met = post.select("least").distinct().withColumnRenamed("least", "doc_id")
-    sets = kept(texts.join(met, "doc_id", "left_semi").mapInArrow(_sets, "set long, hashes array<long>").dropDuplicates(["set"]), "sets")
+    lead = keep(lead, "leaders")
+    post = keep(post.join(lead, ["k", "key"]).select("k", "key", "set", "one", "size", "lead"), "lists")
+    met = post.select(F.col("one.doc_id").alias("own"), F.col("one.th").alias("key")).distinct()
+    sets = texts.join(met, (F.col("th") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("raw")
+    sets = keep(sets.mapInArrow(_sets, "set long, hashes array<long>").dropDuplicates(["set"]), "sets")
     alike = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     tried = post.where(F.col("set") != F.col("lead.id")).where(alike(F.col("size"), F.col("lead.s"))).select(*pair("set", "lead.id")).distinct()
-    first = _verified(tried, sets)
-    root = kept(components(first), "roots")
+    first = _verified(tried, sets, keep)
+    root = keep(components(first), "roots")
     post = post.join(root.withColumnRenamed("node", "set"), "set", "left").select("k", "key", "set", "size", F.coalesce("root", "set").alias("root"))
     # Lists that lie within one component have nothing left to compare.
-    mixed = post.groupBy("k", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "key")
-    open_ = kept(post.join(mixed, ["k", "key"]), "open")
+    mixed = keep(post.groupBy("k", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "key"), "mixed")
+    open_ = keep(post.join(mixed, ["k", "key"]), "open")
     other = open_.select("k", "key", F.col("set").alias("set2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
     rest = open_.join(other, ["k", "key"]).where("root < root2").where(alike(F.col("size"), F.col("size2"))).select(*pair("set", "set2")).distinct()
-    root = components(first.unionByName(_verified(rest, sets)))
-    known = kept(uniq.join(root.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root")), "roots")
-    least = known.groupBy("root").agg(F.min("least").alias("near_id"))
-    return rows.select("doc_id", "set").join(known.join(least, "root").select("set", "near_id"), "set").select("doc_id", "near_id")
+    root = components(first.unionByName(_verified(rest, sets, keep)))
+    known = keep(uniq.join(root.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("near_root")), "roots")
+    least = keep(known.groupBy("near_root").agg(F.min("least").alias("near_id")), "least")
+    final = kept(known.join(least, "near_root").select("set", "near_root", "near_id"), "groups")
+    keep.drop()
+    return rows.select("doc_id", "th", "set").join(final, "set").select("doc_id", "th", "near_root", "near_id")

@@ -1,12 +1,15 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Level one holds the training words' 64-bit hashes in order, cut into shards by their first bits; a
-word's rank is its id. Level two holds the word pairs, cut into shards by both ids: in each shard the
-contexts in order, monotone pointers to their children, and the children's ids made non-decreasing by
-adding the last value before the context's range, so that a child is found by a successor search
-relative to its context. Each pair has its smoothed log10-probability in 16 bits. All sequences are
-Elias-Fano coded in files of the shared folder, which the tasks that build and score map into memory:
-no task or driver holds the model.
+word's rank is its id. Level two holds the word pairs, cut into shards by both ids, so that the pairs of a very common
+word are spread: in each shard the contexts in order, monotone pointers to their children, and the children's
+ids made non-decreasing by adding the last value before the context's range, so that a child is found by a
+successor search relative to its context. Each pair has its smoothed log10-probability in 16 bits. All sequences are
+Elias-Fano coded in files of the shared folder, which the tasks that build and score map into memory when they
+first ask for them: no task or driver holds the model. Between counting and building, pairs travel as sorted,
+compressed blocks, one for each part of the shards; parts grow in number with the tokens, not in size.
+
+The model is of order two: there is no third level.
 
 P(w | v) = (c(vw) + MU * P(w)) / (c(v) + MU), the Dirichlet-smoothed pair over the add-one word, which
 sums to one over the training words and one unknown. A text's tokens are its words and one end; the end
@@ -24,22 +27,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, bounded_batches, bounds, grouped, kept, raw_texts, scratch
-from .elias import EliasFano, read_file, write_file
+from .common import bounded_batches, bounds, grouped, kept, raw_texts, scratch, word_batches
+from .elias import EliasFano, Shards, write_file
 from .folds import fold
 
 FOLDS, HELD, MU = 7, 2, 300.0
-ID_BITS = 31
-#: Words or pairs that a shard is meant to hold at most, on average.
-WORDS_PER_SHARD, PAIRS_PER_SHARD = 1 << 18, 1 << 20
+#: Words or pairs that a shard is meant to hold at most, on average, and tokens to a part of the pairs' shards.
+WORDS_PER_SHARD, PAIRS_PER_SHARD, TOKENS_PER_PART = 1 << 18, 1 << 19, 1 << 21
 FLOOR = 16.0
-#: Words whose ids a task remembers, and tokens that it scores at once.
-REMEMBERED, AT_ONCE = 500_000, 500_000
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """The words and one end, which is the empty word."""
-    return [*ascii_words(text), b""]
+#: Words whose ids a task remembers, tokens that it looks up at once, and pairs that it holds before it sends them.
+REMEMBERED, AT_ONCE, SENT_AT_ONCE = 300_000, 250_000, 2_000_000
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bytes]]:
+    """(text, tokens, the token before): each text's words and one end, the empty word, a long text in several pieces."""
+    for i, t in enumerate(texts):
+        before = b""
+        for words in word_batches(t):
+            if words:
+                yield i, words, before
+                before = words[-1]
+        yield i, [b""], before
+
+
+def together(texts: list[bytes], most: int = AT_ONCE) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]]:
+    """About ``most`` tokens at a time: tokens, and for each piece the token before, its length and its text."""
+    words, before, size, owner = [], [], [], []
+    for i, some, last in pieces(texts):
+        words += some
+        before.append(last)
+        size.append(len(some))
+        owner.append(i)
+        if len(words) > most:
+            yield words, before, np.array(size), np.array(owner)
+            words, before, size, owner = [], [], [], []
+    if words:
+        yield words, before, np.array(size), np.array(owner)
 
 
 def power(n: float, least: int) -> int:
@@ -52,8 +75,7 @@ class Words:
 
     def __init__(self, model: dict) -> None:
         self.bits, self.base = model["word_bits"], model["base"]
-        self.shards = [None if not n else read_file(f"{model['at']}/words-{s}") for s, n in enumerate(np.diff(self.base))]
-        self.ef = [x and EliasFano(x[0], "h", x[1]) for x in self.shards]
+        self.shards = Shards(f"{model['at']}/words", lambda x, about: (EliasFano(x, "h", about), x["count"]))
         self._clear()
 
     def _clear(self) -> None:
@@ -64,16 +86,28 @@ class Words:
         ids, n = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         shard = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(len(self.ef) + 1))
-        for s, ef in enumerate(self.ef):
-            at = order[cut[s] : cut[s + 1]]
-            if ef is not None and len(at):
+        first = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            at, s = order[a:z], int(shard[order[a]])
+            if self.shards[s]:
+                ef, count = self.shards[s]
                 k = ef.find(h[at] & np.uint64((1 << (64 - self.bits)) - 1))
                 hit = k >= 0
                 ids[at[hit]] = self.base[s] + k[hit]
-                n[at[hit]] = self.shards[s][0]["count"][k[hit]]
+                n[at[hit]] = count[k[hit]]
         return ids, n
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """The counts of known words by id."""
+        out = np.zeros(len(ids), np.int64)
+        shard = np.searchsorted(self.base, ids, side="right") - 1
+        order = np.argsort(shard, kind="stable")
+        first = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            at, s = order[a:z], int(shard[order[a]])
+            out[at] = self.shards[s][1][ids[at] - self.base[s]]
+        return out
+
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts."""
         if len(self.place) > REMEMBERED:
@@ -104,20 +138,17 @@ class Pairs:
 
     def __init__(self, model: dict) -> None:
         self.mask = (1 << model["pair_bits"]) - 1
-        self.shards = []
-        for s in range(self.mask + 1):
-            x = read_file(f"{model['at']}/pairs-{s}") if s in model["pair_shards"] else None
-            self.shards.append(x and ({k: EliasFano(x[0], k, x[1]) for k in ("context", "pointer", "child")}, x[0]["logp"]))
+        self.shards = Shards(f"{model['at']}/pairs", lambda x, about: ({k: EliasFano(x, k, about) for k in ("context", "pointer", "child")}, x["logp"]))
 
     def look(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | v) of pairs in ascending order, not a number where the trie has none."""
         out = np.full(len(v), np.nan)
         shard = (v ^ w) & self.mask
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(len(self.shards) + 1))
-        for s, x in enumerate(self.shards):
-            at = order[cut[s] : cut[s + 1]]
-            if x is None or not len(at):
+        begin = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+            at, x = order[a:z], self.shards[int(shard[order[a]])]
+            if x is None:
                 continue
             ef, logp = x
             # Pairs come in order, so a context's pairs are neighbours: each context is looked up once.
@@ -136,12 +167,54 @@ class Pairs:
         return out
 
 
+def distinct(v: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in ascending order, how often each occurs (its ``n`` summed, if given), and each pair's place among them."""
+    if not len(v):
+        return v, w, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if max(int(v.max()), int(w.max())) < 1 << 31:
+        key = v << 31 | w
+        order = np.argsort(key)
+        key = key[order]
+        moved = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((w, v))
+        moved = (v[order[1:]] != v[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
+    first = np.concatenate(([0], np.flatnonzero(moved) + 1))
+    place = np.empty(len(v), np.int64)
+    place[order] = np.concatenate(([0], np.cumsum(moved)))
+    count = np.diff(np.concatenate((first, [len(v)]))) if n is None else np.add.reduceat(n[order], first)
+    return v[order[first]], w[order[first]], count, place
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers of one length, compressed byte by byte of their values."""
+    out = [len(arrays[0]).to_bytes(8, "little")]
+    for a in arrays:
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+        small = pa.compress(raw, codec="zstd", asbytes=True)
+        out += [width.to_bytes(1, "little"), len(small).to_bytes(8, "little"), small]
+    return b"".join(out)
+
+
+def unpacked(data: bytes, count: int) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for _ in range(count):
+        width, size = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
+        raw = pa.decompress(data[at + 9 : at + 9 + size], n * width, codec="zstd", asbytes=True)
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+        out.append(a.ravel().view("<u8").astype(np.int64))
+        at += 9 + size
+    return out
+
+
 def base_p(n: np.ndarray, model: dict) -> np.ndarray:
     return (n + 1) / (model["N"] + model["V"] + 1)
 
 
 def train(docs: DataFrame, mu: float = MU) -> dict:
-    """Build the trie from ``docs`` (text) and return where it is. An empty table gives an empty trie."""
+    """Build the trie from ``docs`` (text) and return where it is. Null texts count as empty; an empty table gives an empty trie."""
     spark = docs.sparkSession
     bounded_batches(spark)
     raw = docs.select(F.col("text").cast("binary").alias("raw"))
@@ -158,7 +231,9 @@ def train(docs: DataFrame, mu: float = MU) -> dict:
 
         for b in batches:
             for t in raw_texts(b.column(0)):
-                seen.update(tokens(t))
+                for some in word_batches(t):
+                    seen.update(some)
+                seen[b""] += 1
             if len(seen) > 300_000:
                 yield flush()
         if seen:
@@ -168,8 +243,6 @@ def train(docs: DataFrame, mu: float = MU) -> dict:
     words = kept(words, "words")
     total = words.agg(F.count("*").alias("V"), F.sum("n").alias("N")).first()
     size, n = int(total["V"]), int(total["N"] or 0)
-    if size >= 1 << ID_BITS:
-        raise ValueError("more words than ids")
     bits = power(size / WORDS_PER_SHARD, 4)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -189,127 +262,105 @@ def train(docs: DataFrame, mu: float = MU) -> dict:
     sizes = np.zeros(1 << bits, np.int64)
     for r in made:
         sizes[r["shard"]] = r["size"]
-    model = {"at": at, "word_bits": bits, "base": np.concatenate(([0], np.cumsum(sizes))), "N": n, "V": size, "mu": mu, "pair_bits": power(n / PAIRS_PER_SHARD, 6), "pair_shards": set()}
+    model = {"at": at, "word_bits": bits, "base": np.concatenate(([0], np.cumsum(sizes))), "N": n, "V": size, "mu": mu, "pair_bits": power(n / PAIRS_PER_SHARD, 6)}
     if not n:
         return model
+    pair_bits = model["pair_bits"]
+    groups = min(1 << pair_bits, -(-n // TOKENS_PER_PART))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, held, size = Words(model), [], 0
+        """Blocks of distinct pairs in the order of their shards, one for each part."""
+        level, held, many = Words(model), [], 0
 
         def flush() -> pa.RecordBatch:
-            key, c = np.unique(np.concatenate(held), return_counts=True)
+            v, w, c, _ = distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            return pa.record_batch([pa.array(key), pa.array(c)], names=["key", "n"])
+            part = ((v ^ w) & ((1 << pair_bits) - 1)) * groups >> pair_bits
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(groups + 1))
+            full = np.flatnonzero(cut[1:] > cut[:-1])
+            blocks = []
+            for g in full.tolist():
+                i = order[cut[g] : cut[g + 1]]
+                blocks.append(packed(np.diff(v[i], prepend=0), w[i], c[i]))
+            return pa.record_batch([pa.array(full), pa.array(blocks, pa.binary())], names=["part", "block"])
 
-        end = int(level.of([b""])[0][0])
         for b in batches:
-            for part in _some(raw_texts(b.column(0))):
-                ids, _ = level.of(part)
-                before = np.concatenate(([end], ids[:-1]))
-                held.append(before << ID_BITS | ids)
-                size += len(ids)
-                if size > 2_000_000:
+            for words, before, length, _ in together(raw_texts(b.column(0))):
+                ids, _ = level.of(words)
+                v = np.concatenate(([0], ids[:-1]))
+                v[np.cumsum(length) - length] = level.of(before)[0]
+                held.append((v, ids))
+                many += len(ids)
+                if many > SENT_AT_ONCE:
                     yield flush()
-                    size = 0
+                    many = 0
         if held:
             yield flush()
 
     def build_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [None if not k else read_file(f"{at}/words-{s}")[0]["count"] for s, k in enumerate(sizes)]
-
-        def count_of(ids: np.ndarray) -> np.ndarray:
-            s = np.searchsorted(model["base"], ids, side="right") - 1
-            out = np.zeros(len(ids), np.int64)
-            order = np.argsort(s, kind="stable")
-            cut = np.searchsorted(s[order], np.arange(len(counts) + 1))
-            for k, c in enumerate(counts):
-                i = order[cut[k] : cut[k + 1]]
-                if len(i):
-                    out[i] = c[ids[i] - model["base"][k]]
-            return out
-
-        for table in grouped(batches, ["shard"]):
-            cut = bounds(table, ["shard"])
+        level = Words(model)
+        for table in grouped(batches, ["part"]):
+            cut = bounds(table, ["part"])
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                t = table.slice(a, b - a)
-                shard = int(t.column("shard")[0].as_py())
-                key = t.column("key").to_numpy()
-                first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-                n = np.add.reduceat(t.column("n").to_numpy(), first)
-                key = key[first]
-                v, w = key >> ID_BITS, key & ((1 << ID_BITS) - 1)
-                p = np.log10((n + mu * base_p(count_of(w), model)) / (count_of(v) + mu))
-                logp = np.round(np.clip(-p, 0, FLOOR) * (65535 / FLOOR)).astype(np.uint16)
-                start = np.concatenate(([0], np.flatnonzero(v[1:] != v[:-1]) + 1))
-                ends = np.concatenate((start[1:], [len(v)])) - 1
-                # Children become non-decreasing: each context adds the last value of the one before.
-                add = np.concatenate(([0], np.cumsum(w[ends])[:-1]))
-                child = w + np.repeat(add, np.diff(np.concatenate((start, [len(v)]))))
-                arrays, meta = {"logp": logp}, {}
-                for name, x in (("context", v[start]), ("pointer", np.concatenate((start, [len(v)]))), ("child", child)):
-                    more, about = EliasFano.build(x, name)
-                    arrays, meta = arrays | more, meta | about
-                write_file(f"{at}/pairs-{shard}", arrays, **meta)
-                yield pa.record_batch([pa.array([shard])], names=["shard"])
-
-    mask = (1 << model["pair_bits"]) - 1
-    found = raw.mapInArrow(pairs, "key long, n long").withColumn("shard", F.shiftright("key", ID_BITS).bitwiseXOR(F.col("key")).bitwiseAND(F.lit(mask)))
-    built = found.repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(build_pairs, "shard long").collect()
-    model["pair_shards"] = {r["shard"] for r in built}
+                got = [unpacked(x.as_py(), 3) for x in table.column("block").slice(a, b - a)]
+                v, w, c, _ = distinct(np.concatenate([np.cumsum(x[0]) for x in got]), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]))
+                del got
+                shard = (v ^ w) & ((1 << pair_bits) - 1)
+                order = np.argsort(shard, kind="stable")
+                first = np.flatnonzero(np.diff(shard[order], prepend=-1))
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                    own = order[i:j]
+                    build(int(shard[own[0]]), v[own], w[own], c[own], level)
+                yield pa.record_batch([pa.array([len(first)])], names=["shards"])
+
+    def build(shard: int, v: np.ndarray, w: np.ndarray, c: np.ndarray, level: Words) -> None:
+        p = np.log10((c + mu * base_p(level.counts(w), model)) / (level.counts(v) + mu))
+        logp = np.round(np.clip(-p, 0, FLOOR) * (65535 / FLOOR)).astype(np.uint16)
+        start = np.concatenate(([0], np.flatnonzero(v[1:] != v[:-1]) + 1))
+        ends = np.concatenate((start[1:], [len(v)])) - 1
+        # Children become non-decreasing: each context adds the last value of the one before.
+        add = np.concatenate(([0], np.cumsum(w[ends])[:-1]))
+        child = w + np.repeat(add, np.diff(np.concatenate((start, [len(v)]))))
+        arrays, meta = {"logp": logp}, {}
+        for name, x in (("context", v[start]), ("pointer", np.concatenate((start, [len(v)]))), ("child", child)):
+            more, about = EliasFano.build(x, name)
+            arrays, meta = arrays | more, meta | about
+        write_file(f"{at}/pairs-{shard}", arrays, **meta)
+
+    found = raw.mapInArrow(pairs, "part long, block binary")
+    built = found.repartition(max(parts, groups), "part").sortWithinPartitions("part").mapInArrow(build_pairs, "shards long")
+    model["pair_shards"] = built.agg(F.sum("shards")).first()[0]
     return model
 
 
-def _some(texts: list[bytes], most: int = AT_ONCE) -> Iterator[list[bytes]]:
-    """The tokens of several texts together, about ``most`` at a time; a long text may be more."""
-    part: list[bytes] = []
-    for t in texts:
-        part += tokens(t)
-        if len(part) > most:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
 def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """For each row: doc_id, n_tokens, n_known, base_score, score. Null texts count as empty: one end."""
+    """For each row: doc_id, n_tokens, n_known, base_score, score.
+
+    Null texts count as empty: one end. A long text is scored whole, its tokens a piece at a time. Repeated rows
+    score alike; an empty table gives no rows; other columns are ignored.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, trie = Words(model), Pairs(model)
-        (end,), (ends,) = (x.tolist() for x in level.of([b""]))
         for b in batches:
-            size, known, base, score = [], [], [], []
-            words: list[bytes] = []
-            lengths: list[int] = []
-
-            def flush() -> None:
+            out = np.zeros((4, b.num_rows))
+            for words, before, length, owner in together(raw_texts(b.column(1))):
                 ids, n = level.of(words)
-                v, c = np.concatenate(([end], ids[:-1])), np.concatenate(([ends], n[:-1]))
+                v, c = np.concatenate(([0], ids[:-1])), np.concatenate(([0], n[:-1]))
+                start = np.cumsum(length) - length
+                v[start], c[start] = level.of(before)
                 p1 = base_p(n, model)
                 back = np.log10(np.where(v >= 0, model["mu"] * p1 / (np.where(v >= 0, c, 0) + model["mu"]), p1))
                 both = np.flatnonzero((v >= 0) & (ids >= 0))
-                key, inverse = np.unique(v[both] << ID_BITS | ids[both], return_inverse=True)
-                found = trie.look(key >> ID_BITS, key & ((1 << ID_BITS) - 1))[inverse] if len(key) else np.zeros(0)
+                one, two, _, place = distinct(v[both], ids[both])
+                found = trie.look(one, two)[place] if len(one) else np.zeros(0)
                 seen = ~np.isnan(found)
                 back[both[seen]] = found[seen]
-                at = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-                size.append(np.array(lengths))
-                known.append(np.add.reduceat((n > 0).astype(np.int64), at))
-                base.append(np.add.reduceat(np.log10(p1), at))
-                score.append(np.add.reduceat(back, at))
-                words.clear()
-                lengths.clear()
-
-            for t in raw_texts(b.column(1)):
-                got = tokens(t)
-                words += got
-                lengths.append(len(got))
-                if len(words) > AT_ONCE:
-                    flush()
-            if lengths:
-                flush()
-            yield pa.record_batch([b.column(0), *(pa.array(np.concatenate(x)) for x in (size, known, base, score))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                for k, x in enumerate((np.ones(len(n)), (n > 0).astype(float), np.log10(p1), back)):
+                    out[k] += np.bincount(owner, weights=np.add.reduceat(x, start), minlength=b.num_rows)
+            yield pa.record_batch([b.column(0), *(pa.array(x.astype(np.int64)) for x in out[:2]), *map(pa.array, out[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

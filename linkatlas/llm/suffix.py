@@ -9,10 +9,11 @@ Equal contexts are collapsed to one with a count. The distinct contexts of a gro
 which sorts their suffixes in two stages: the suffixes smaller than their successors are sorted directly
 (to the depth of a window), the others are induced by scanning the buckets of first bytes in order.
 Common prefixes of neighbours then tell which windows occur twice. A group with more than ``GROUP_CAP``
-distinct contexts is not brought together: its contexts are cut at fixed places from the gram into pieces
-of up to ``PIECE`` windows, and pieces are counted by their hashes (128 bits). Of pieces that occur once,
-those that share what all windows at their place have in common with another piece have their windows
-counted one by one. All counts are pre-aggregated, so this is as exact and has no hot spot.
+distinct contexts is not brought together: its contexts are cut at fixed places from the gram into parts
+of up to ``WIDTHS[0]`` windows, and a part meets only those that have the same bytes where all windows at
+its place lie. Equal parts collapse again; the distinct ones are sorted as above, or cut more finely where
+there are still too many. Parts of one window that meet are equal, so the cutting ends. All counts are
+pre-aggregated, and only hashes travel until parts are known to meet.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop, grouped, kept
+from .common import Held, bounded_batches, grouped, kept, text_key
 
-LENGTH, GRAM, GROUP_CAP, CHUNK, PIECE = 400, 32, 256, 1 << 20, 16
+LENGTH, GRAM, GROUP_CAP, CHUNK = 400, 32, 256, 1 << 20
+#: Windows to a part of a context in a large group, from the first cut to the last.
+WIDTHS = (48, 6, 1)
+#: Windows of a text that are looked at at once.
+BLOCK = 1 << 20
 
 
 def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -45,23 +50,29 @@ def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: the gram's hash, the first window's start, how many windows, the gram's place in it."""
-    if len(text) < length:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
-    h = gram_hashes(np.frombuffer(text, np.uint8))
+def runs(text: bytes, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the gram's hash, the first window's start, how many windows, the gram's place in it.
+
+    A long text is worked off in blocks of windows; a run ends where its block does.
+    """
+    found = [_runs(np.frombuffer(text, np.uint8)[at : at + block + length - 1], length, at) for at in range(0, len(text) - length + 1, block)]
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+
+
+def _runs(b: np.ndarray, length: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    h = gram_hashes(b)
     w = length - GRAM + 1
-    place = np.uint64((1 << max(20, len(h).bit_length())) - 1)
+    # Rank by the hash's first 24 bits, then by place: the same for equal windows of any texts.
+    place = np.uint64((1 << 40) - 1)
     v = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     pad = np.full(-len(v) % w, np.iinfo(np.uint64).max, np.uint64)
     rows = np.concatenate((v, pad)).reshape(-1, w)
     fore = np.minimum.accumulate(rows, axis=1).ravel()
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(text) - length + 1
+    n = len(b) - length + 1
     at = (np.minimum(back[:n], fore[w - 1 : w - 1 + n]) & place).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return h[at[first]].view(np.int64), first, np.diff(np.concatenate((first, [n]))), at[first] - first
+    return h[at[first]].view(np.int64), first + start, np.diff(np.concatenate((first, [n]))), at[first] - first
 
 
 def suffix_order(flat: bytes, start: np.ndarray, size: np.ndarray, windows: np.ndarray, depth: int) -> np.ndarray:
@@ -174,15 +185,84 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int, length: int) -> tuple[
     return stretches(np.cumsum(edge[:-1]) > 0)
 
 
-MARK = "array<struct<s:long,e:long>>"
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def _sorted(rows: DataFrame, length: int) -> DataFrame:
+    """(id, s, e): stretches of repeated windows among the contexts of ``rows`` (key: long, id, context) that share a key."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.Table]) -> pa.RecordBatch:
+            t = pa.concat_tables(held)
+            out = []
+            for key, flag in zip(t.column("id").to_pylist(), repeated(t.column("context").to_pylist(), length), strict=True):
+                out += [(key, s, e) for s, e in zip(*(x.tolist() for x in stretches(flag)), strict=True)]
+            return _batch(out, id=pa.binary(), s=pa.int64(), e=pa.int64())
+
+        held, size = [], 0
+        for table in grouped(batches, ["key"]):
+            held.append(table)
+            size += table.nbytes
+            if size >= CHUNK:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "id", "context").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort, "id binary, s long, e long")
+
+
+def _in_parts(items: DataFrame, length: int, widths: tuple[int, ...], keep: Held) -> DataFrame:
+    """(id, s, e): stretches of repeated windows among many distinct contexts, ``items`` (id, off, context), of the same grams."""
+    width = widths[0]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, off, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                at = np.arange(len(c) - length + 1)
+                cell = (off - at) // width
+                lo = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
+                for s, k in zip(lo.tolist(), np.diff(np.concatenate((lo, [len(at)]))).tolist(), strict=True):
+                    # The bytes under all windows of the cell, and the part itself with its place.
+                    inner = off - int(cell[s]) * width
+                    core = xxhash.xxh3_64_intdigest(c[inner : inner - width + 1 + length], seed=int(cell[s])) - (1 << 63)
+                    rows.append((key, s, k, xxhash.xxh3_128_digest(c[s : s + k - 1 + length], seed=off - s), core))
+            yield _batch(rows, id=pa.binary(), s=pa.int64(), k=pa.int64(), h=pa.binary(), core=pa.int64())
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for off, c, cuts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows += [(x["core"], x["h"], off - x["s"], c[x["s"] : x["s"] + x["k"] - 1 + length], x["m"]) for x in cuts]
+            for at in range(0, len(rows), 2000):
+                yield _batch(rows[at : at + 2000], key=pa.int64(), id=pa.binary(), off=pa.int64(), context=pa.binary(), m=pa.int64())
+
+    piece = keep(items.select("id", "off", "context").mapInArrow(cut, "id binary, s long, k long, h binary, core long"), "parts")
+    distinct = keep(piece.groupBy("h").agg(F.count("*").alias("c"), F.first("core").alias("core"), F.min(F.struct("id", "s", "k")).alias("at")), "distinct")
+    groups = keep(distinct.groupBy("core").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    asked = distinct.join(groups, "core").select(F.col("at.id").alias("id"), F.struct("h", "core", "at.s", "at.k", "m").alias("cut"))
+    asked = keep(asked.groupBy("id").agg(F.collect_list("cut").alias("cuts")), "asked")
+    met = keep(asked.join(items, "id").select("off", "context", "cuts").mapInArrow(fetch, "key long, id binary, off long, context binary, m long"), "met")
+    found = distinct.where("c > 1").select(F.col("h").alias("id"), F.lit(0).cast("long").alias("s"), F.col("at.k").alias("e"))
+    found = found.unionByName(_sorted(met.where(F.col("m") <= GROUP_CAP), length))
+    many = met.where(F.col("m") > GROUP_CAP)
+    if widths[1:] and not many.isEmpty():
+        found = found.unionByName(_in_parts(many, length, widths[1:], keep))
+    told = keep(found.groupBy(F.col("id").alias("h")).agg(F.collect_list(F.struct("s", "e")).alias("m")), "told")
+    placed = piece.select("id", F.col("s").alias("at"), "h").join(told, "h")
+    return placed.select("id", F.inline(F.transform("m", lambda x: F.struct((x["s"] + F.col("at")).alias("s"), (x["e"] + F.col("at")).alias("e")))))
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(tid, marks): for each text that has any, the stretches [s, e) of starts of windows that occur again."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    keep = Held()
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    texts = docs.select(raw.alias("raw")).where(F.octet_length("raw") >= length).select(tid("raw"), "raw")
+    texts = docs.select(raw.alias("raw")).where(F.octet_length("raw") >= length).select(text_key("raw").alias("tid"), "raw")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,21 +271,21 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
             yield pa.record_batch([b.column(0).take(pa.array(at)), *map(pa.array, cols)], names=["tid", "fp", "first", "n", "off"])
 
-    anchors = kept(texts.mapInArrow(find, "tid binary, fp long, first long, n long, off long").dropDuplicates(["tid", "first"]), "anchors")
+    anchors = keep(texts.mapInArrow(find, "tid binary, fp long, first long, n long, off long").dropDuplicates(["tid", "first"]), "anchors")
     # Kept, so that the join below can split a gram that is in very many places.
-    twice = kept(anchors.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "twice")
-    wanted = kept(anchors.join(twice, "fp").groupBy("tid").agg(F.collect_list(F.struct("fp", "first", "n", "off")).alias("runs")), "runs")
-    drop(anchors)
+    twice = keep(anchors.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "twice")
+    wanted = keep(anchors.join(twice, "fp").groupBy("tid").agg(F.collect_list(F.struct("fp", "first", "n", "off")).alias("runs")), "runs")
     # Each text once; its copies are pre-aggregated.
     once = texts.groupBy("tid").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"tid": pa.binary(), "fp": pa.int64(), "first": pa.int64(), "n": pa.int64(), "off": pa.int64(), "ch": pa.binary(), "context": pa.binary()}
         sent: set[bytes] = set()
         for b in batches:
             for i in range(b.num_rows):
                 key, text, copies, found = (b.column(k)[i].as_py() for k in range(4))
                 if copies > 1:
-                    yield pa.record_batch([pa.array([key], pa.binary()), pa.array([0]), pa.array([0]), pa.array([len(text) - length + 1]), pa.array([0]), pa.array([None], pa.binary()), pa.array([None], pa.binary())], names=["tid", "fp", "first", "n", "off", "ch", "context"])
+                    yield _batch([(key, 0, 0, len(text) - length + 1, 0, None, None)], **kinds)
                 if not found:
                     continue
                 rows = []
@@ -215,85 +295,29 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows.append((key, r["fp"], r["first"], r["n"], r["off"], ch, None if ch in sent else c))
                     if len(sent) < 200_000:
                         sent.add(ch)
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 for s in range(0, len(rows), 2000):
-                    yield pa.record_batch([pa.array(list(x), k) for x, k in zip(zip(*rows[s : s + 2000], strict=True), kinds, strict=True)], names=["tid", "fp", "first", "n", "off", "ch", "context"])
+                    yield _batch(rows[s : s + 2000], **kinds)
 
     placed = once.join(wanted, "tid", "left").where("copies > 1 or runs is not null").select("tid", "raw", "copies", "runs")
-    placed = kept(placed.mapInArrow(cut, "tid binary, fp long, first long, n long, off long, ch binary, context binary"), "contexts")
-    drop(wanted)
+    placed = keep(placed.mapInArrow(cut, "tid binary, fp long, first long, n long, off long, ch binary, context binary"), "contexts")
     whole = placed.where("ch is null").select("tid", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     placed = placed.where("ch is not null")
-    classes = kept(placed.groupBy("ch", "fp", "n", "off").agg(F.first("context", True).alias("context"), F.count("*").alias("c")), "classes")
-    crowd = classes.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1")
-    met = classes.join(crowd, "fp").select("fp", "ch", "off", "context", "m")
-    cold, hot = met.where(F.col("m") <= GROUP_CAP), met.where(F.col("m") > GROUP_CAP)
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.Table]) -> pa.RecordBatch:
-            t = pa.concat_tables(held)
-            chs, out = t.column("ch").to_pylist(), []
-            for ch, flag in zip(chs, repeated(t.column("context").to_pylist(), length), strict=True):
-                out += [(ch, s, e) for s, e in zip(*(x.tolist() for x in stretches(flag)), strict=True)]
-            return pa.record_batch([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["ch", "s", "e"])
-
-        held, size = [], 0
-        for table in grouped(batches, ["fp"]):
-            held.append(table)
-            size += table.nbytes
-            if size >= CHUNK:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut contexts into pieces of up to ``PIECE`` windows whose places relative to the gram fall in one cell."""
-        for b in batches:
-            for ch, off, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                at = np.arange(len(c) - length + 1)
-                cell = (off - at) // PIECE
-                lo = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1))
-                rows = []
-                for s, k in zip(lo.tolist(), np.diff(np.concatenate((lo, [len(at)]))).tolist(), strict=True):
-                    # What all windows of the cell have in common, and the piece itself with its place in the cell.
-                    inner = off - int(cell[s]) * PIECE
-                    common = xxhash.xxh3_128_digest(c[inner : inner - PIECE + 1 + length])
-                    rows.append((ch, s, k, xxhash.xxh3_128_digest(c[s : s + k - 1 + length], seed=(off - s) % PIECE), common))
-                yield pa.record_batch([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["ch", "s", "k", "h", "common"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(x["h"], i, xxhash.xxh3_128_digest(c[x["s"] + i : x["s"] + i + length])) for x in cuts for i in range(x["k"])]
-                yield pa.record_batch([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["h", "i", "w"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = cold.select("fp", "ch", "context").repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(sort, "ch binary, s long, e long")
-    piece = kept(hot.select("ch", "off", "context").mapInArrow(pieces, "ch binary, s long, k long, h binary, common binary"), "pieces")
-    distinct = kept(piece.groupBy("h").agg(F.count("*").alias("c"), F.first("common").alias("common"), F.min(F.struct("ch", "s", "k")).alias("at")), "distinct")
-    near = kept(distinct.groupBy("common").agg(F.count("*").alias("m")).where("m > 1").select("common"), "near")
-    asked = distinct.join(near, "common").groupBy("at.ch").agg(F.collect_list(F.struct("h", "at.s", "at.k")).alias("cuts"))
-    each = asked.join(hot.select("ch", "context"), "ch").select("context", "cuts").mapInArrow(windows, "h binary, i long, w binary")
-    each = kept(each, "windows")
-    again = kept(each.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w"), "again")
-    partly = each.join(again, "w").groupBy("h").agg(F.collect_list("i").alias("places"))
-    known = distinct.select("h", "c").join(partly, "h", "left").where("c > 1 or places is not null")
-    known = kept(known.select("h", F.when(F.col("c") == 1, F.col("places")).alias("places")), "known")
-    # A piece that occurs twice counts whole; of another, the windows that do.
-    spans = F.when(F.col("places").isNull(), F.array(F.struct(F.col("s").alias("s"), (F.col("s") + F.col("k")).alias("e")))).otherwise(F.transform("places", lambda i: F.struct((F.col("s") + i).alias("s"), (F.col("s") + i + 1).alias("e"))))
-    counted = piece.join(known, "h").select("ch", F.inline(spans))
-    alike = classes.where("c > 1").select("ch", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
-    told = sorted_.unionByName(counted).unionByName(alike).groupBy("ch").agg(F.collect_list(F.struct("s", "e")).alias("m"))
-    told = kept(told, "told")
+    classes = keep(placed.groupBy("ch", "fp", "n", "off").agg(F.first("context", True).alias("context"), F.count("*").alias("c")), "classes")
+    # Kept too: contexts of a large group are many, and the joins below split them.
+    crowd = keep(classes.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1"), "crowd")
+    cold = classes.join(crowd.where(F.col("m") <= GROUP_CAP), "fp").select(F.col("fp").alias("key"), F.col("ch").alias("id"), "context")
+    told = classes.where("c > 1").select(F.col("ch").alias("id"), F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
+    told = told.unionByName(_sorted(cold, length))
+    large = crowd.where(F.col("m") > GROUP_CAP).select("fp")
+    if not large.isEmpty():
+        hot = keep(classes.join(large, "fp").select(F.col("ch").alias("id"), "off", "context"), "hot")
+        told = told.unionByName(_in_parts(hot, length, WIDTHS, keep))
+    told = keep(told.groupBy(F.col("id").alias("ch")).agg(F.collect_list(F.struct("s", "e")).alias("m")), "told")
     own = placed.select("tid", "first", "ch").join(told, "ch").select("tid", F.transform("m", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e"))).alias("m"))
     out = own.unionByName(whole.select("tid", F.array(F.struct("s", "e")).alias("m"))).groupBy("tid").agg(F.flatten(F.collect_list("m")).alias("marks"))
-    return kept(out, "marks")
-
-
-def tid(column: str):
-    """A text's key: 128 bits of its SHA-256."""
-    return F.substring(F.unhex(F.sha2(F.col(column), 256)), 1, 16).alias("tid")
+    out = kept(out, "marks")
+    keep.drop()
+    return out
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -308,7 +332,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length % 8 or length < 2 * GRAM:
         raise ValueError("length must be a multiple of 8 and hold two grams")
     found = marks(docs, length)
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).select("row", tid("raw"))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).select("row", text_key("raw").alias("tid"))
     joined = keyed.join(found, "tid", "left").select("row", "marks")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,4 +354,4 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op7_suffix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return strip_repeats(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return strip_repeats(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")

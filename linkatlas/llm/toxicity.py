@@ -38,8 +38,15 @@ BINS = (np.arange(-10, 401) + 0.5) / 20
 TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def words_in(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split()
+def words_in(text: str | None, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The tokens of about ``most`` bytes at a time, so that a long text is never all tokens at once."""
+    flat = (text or "").lower().encode("utf-8", "replace").translate(TO_SPACE)
+    at = 0
+    while at < len(flat):
+        end = flat.find(b" ", at + most)
+        end = len(flat) if end < 0 else end
+        yield flat[at:end].split()
+        at = end
 
 
 def buckets(word: bytes) -> list[int]:
@@ -62,29 +69,34 @@ class Scores(dict):
         return s
 
     def of(self, text: str | None) -> np.ndarray:
-        words = words_in(text)
-        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+        parts = [np.fromiter(map(self.__getitem__, words), np.float64, len(words)) for words in words_in(text)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score) of a sequence, left to right, in linear time."""
+    """All maximal scoring segments (first, end, score) of a sequence, left to right, in linear time.
+
+    Each segment remembers the last earlier one that begins at a smaller total: whatever stands between
+    them begins at larger totals and need not be looked at again.
+    """
     at = np.flatnonzero(score > 0)
     if not len(at):
         return []
     total = np.concatenate(([0.0], np.cumsum(score)))
-    found: list[tuple[int, int, float, float]] = []  # first, end, total before, total after
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, total before, total after, link
     for i, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
         first, end, low, high = i, i + 1, before, after
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= high:
-                found.append((first, end, low, high))
+                found.append((first, end, low, high, j))
                 break
-            first, low = found[j][0], found[j][2]
+            first, low, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            j = link
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -159,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict:
         for b in batches:
             words: tuple[Counter, Counter] = (Counter(), Counter())
             for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words[int(y > 0)].update(words_in(t))
+                for some in words_in(t):
+                    words[int(y > 0)].update(some)
             for y, seen in enumerate(words):
                 if seen:
                     at = np.array([buckets(w) for w in seen])
@@ -176,28 +189,41 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict:
     sent = spark.sparkContext.broadcast(log_odds(toxic, clean))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(sent.value)
+        """Each document's tokens and best segment; under -1 the spread of the clean ones' token scores."""
+        scores, spread = Scores(sent.value), np.zeros(len(BINS) - 1, np.int64)
         for b in batches:
-            out, spread = [], np.zeros(len(BINS) - 1, np.int64)
+            out = []
             for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = scores.of(t)
-                out.append((int(y > 0), len(s), [x for _, _, x in segments(s)]))
+                out.append((int(y > 0), len(s), max((x for _, _, x in segments(s)), default=0.0)))
                 if y <= 0:
                     spread += np.histogram(np.minimum(s, BINS[-1]), BINS)[0]
-            out.append((-1, 0, spread.astype(float).tolist()))
-            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.float64()))], names=["toxic", "n", "s"])
-
-    seen = rows.where("fold = 4").mapInArrow(measure, "toxic long, n long, s array<double>").toArrow().to_pylist()
-    spread = sum((np.array(r["s"]) for r in seen if r["toxic"] < 0), np.zeros(len(BINS) - 1))
-    seen = [r for r in seen if r["toxic"] >= 0]
+            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["toxic", "n", "best"])
+        at = np.flatnonzero(spread)
+        yield pa.record_batch([pa.array(np.full(len(at), -1)), pa.array(at), pa.array(spread[at].astype(float))], names=["toxic", "n", "best"])
+
+    held = rows.where("fold = 4")
+    seen = held.mapInArrow(measure, "toxic long, n long, best double").toArrow()
+    y, n, best = (seen.column(c).to_numpy() for c in ("toxic", "n", "best"))
+    spread = np.bincount(n[y < 0], weights=best[y < 0], minlength=len(BINS) - 1)
     lam = karlin_lambda((BINS[:-1] + BINS[1:]) / 2, spread)
-    best = [r["n"] * np.exp(-lam * max(r["s"], default=0.0)) for r in seen if not r["toxic"] and r["n"]]
-    k = float(np.clip(1 / max(np.mean(best), 1e-9), 1e-4, 1.0)) if best else 0.1
-    y = np.array([r["toxic"] for r in seen], float)
+    fit_k = n[(y == 0) & (n > 0)] * np.exp(-lam * best[(y == 0) & (n > 0)])
+    k = float(np.clip(1 / max(fit_k.mean(), 1e-9), 1e-4, 1.0)) if len(fit_k) else 0.1
     curve = np.array([-3.0, 3.0, 0.0])
-    if len(seen) > 10 and 0 < y.mean() < 1:
-        w = [worth([(0, 0, s) for s in r["s"]], r["n"], lam, k)[:2] for r in seen]
-        curve = logistic(features(np.array([x[0] for x in w]), np.array([x[1] for x in w])), y)
+    y = y[y >= 0]
+    if len(y) > 10 and 0 < y.mean() < 1:
+
+        def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = Scores(sent.value)
+            for b in batches:
+                out = []
+                for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    s = scores.of(t)
+                    out.append((int(y > 0), *worth(segments(s), len(s), lam, k)[:2]))
+                yield pa.record_batch([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["toxic", "best", "total"])
+
+        w = held.mapInArrow(value, "toxic long, best double, total double").toArrow()
+        curve = logistic(features(w.column("best").to_numpy(), w.column("total").to_numpy()), w.column("toxic").to_numpy().astype(float))
     return {"table": sent, "lambda": lam, "k": k, "curve": curve.tolist()}
 
 
@@ -205,7 +231,8 @@ def toxic_passages(docs: DataFrame, model: dict) -> DataFrame:
     """For each row: row (a struct of all its columns), score, passages (array of first token, end token, worth in nats), n_tokens.
 
     Null, empty and letterless texts have no passages and the score of a text without any. Repeated rows
-    are scored alike; an empty table gives no rows.
+    are scored alike; of equally good tokens each counts for itself; a long text is scanned whole, its tokens
+    a part at a time; an empty table gives no rows; other columns travel along in ``row``.
     """
     bounded_batches(docs.sparkSession)
     sent, lam, k, curve = model["table"], model["lambda"], model["k"], np.array(model["curve"])

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF, same_rows
+from pyspark.sql import functions as F
 
 from linkatlas.llm import decontam, embed, langid, license, merkle, mixing, ngram, queries, simhash, suffix, toxicity
 
@@ -19,9 +20,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def docs_of(spark, rows, extra=False):
     df = spark.createDataFrame([(*r, *(None,) * (5 - len(r))) for r in rows], DOCS)
     if extra:
-        for c in ("fp", "h", "key", "row", "n", "score", "tid", "marks", "raw", "item_id", "pos", "cid", "license", "path_", "p"):
-            from pyspark.sql import functions as F
-
+        for c in ("fp", "h", "key", "row", "n", "score", "tid", "marks", "raw", "item_id", "pos", "cid", "license", "path_", "p", "held", "id", "of", "copies", "th", "component", "rate", "target"):
             df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -69,7 +68,7 @@ def test_simhash(spark, words, cap, monkeypatch):
             least[comp[f]] = min(least.get(comp[f], i), i)
     want = Counter((i, f"{f:016x}", least.get(comp[f])) for (i, _), f in zip(rows, fp))
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
-    links = simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fp)], "fp long"), 2, cap).collect()
+    links = simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fp)], "fp long"), cap).collect()
     assert all(bin((r.u ^ r.v) & ((1 << 64) - 1)).count("1") <= 2 for r in links)
     assert simhash.simhash_groups(docs_of(spark, [])).count() == 0
 
@@ -83,7 +82,7 @@ def test_simhash_long_lists_lose_nothing(spark):
 
     want = components_of(fps, 2)
     for cap in (4, 10_000):
-        got = {r.node & ((1 << 64) - 1): r.root for r in components(simhash.links(df, 2, cap)).collect()}
+        got = {r.node & ((1 << 64) - 1): r.root for r in components(simhash.links(df, cap)).collect()}
         for a in fps:
             for b in fps:
                 if a < b:
@@ -91,6 +90,10 @@ def test_simhash_long_lists_lose_nothing(spark):
 
 
 def brute_strip(texts, length):
+    return [(n, gone, spans, hashlib.sha256(left).hexdigest()) for n, gone, spans, left in brute_left(texts, length)]
+
+
+def brute_left(texts, length):
     key = lambda t, i: xxhash.xxh3_128_intdigest(t[i : i + length])
     count = Counter(key(t, i) for t in texts for i in range(len(t) - length + 1))
     out = []
@@ -101,7 +104,7 @@ def brute_strip(texts, length):
                 gone[i : i + length] = True
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         left = np.frombuffer(t, np.uint8)[~gone].tobytes()
-        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
+        out.append((len(t), int(gone.sum()), spans, left))
     return out
 
 
@@ -141,7 +144,7 @@ def test_ngram(spark, words):
     df = docs_of(spark, rows, extra=True)
     model = ngram.train(df.where("doc_id is null or doc_id < 20"))
     got = ngram.scores(df, model).collect()
-    tokens = [ngram.tokens((t or "").encode()) for _, t in rows]
+    tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
     one, two = Counter(), Counter()
     for (i, _), w in zip(rows, tokens):
         if i is None or i < 20:
@@ -223,22 +226,24 @@ def test_licenses(spark):
 
 
 def test_merkle(spark, monkeypatch):
-    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(700)] + [(None, None, None), (3, "u", "v"), (3, "u", "v"), (5, "u", "other")]
-    a = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as file", "2 as seq", "3 as hash")
-    assert merkle.audit_report(a, a).where("not ok").count() == 0
-    bad = {17, 300, 699}
-    b = spark.createDataFrame([(i, u, "!" + h[1:] if i in bad and h else h) for i, u, h in rows], "page_id long, url string, html string")
-    report = merkle.audit_report(a, b).collect()
-    assert len(report) == len(rows) and {r.page_id for r in report if not r.ok} == {i for i in bad if i % 5}
-    by_file = {}
-    for r in sorted(report, key=lambda r: (r.file, r.seq)):
-        assert r.offset == by_file.get(r.file, 0)
-        by_file[r.file] = r.offset + r.length
-    lost = a.where("page_id is null or page_id <> 699")
-    assert {r.page_id for r in merkle.audit_report(a, lost).where("not ok").collect()} == {699}
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(700)] + [(None, None, None), (3, "u", "v"), (3, "u", "v"), (5, "u", "other"), (6, "u", "long " * 100_000)]
+    for most in (merkle.MOST, 10):
+        monkeypatch.setattr(merkle, "MOST", most)
+        a = merkle.written(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as file", "2 as seq", "3 as hash"))
+        a = a.selectExpr("*", "1 as file", "2 as seq", "3 as hash", "4 as ok", "5 as bad")
+        assert merkle.audit_report(a, a).where("not ok").count() == 0
+        b = a.withColumn("html", F.when(F.col("page_id").isin(17, 300, 699), F.concat(F.lit("!"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+        report = merkle.audit_report(a, b).collect()
+        assert len(report) == len(rows) and {r.page_id for r in report if not r.ok} == {17, 699, 300}
+        by_file = {}
+        for r in sorted(report, key=lambda r: (r.file, r.seq)):
+            assert r.offset == by_file.get(r.file, 0)
+            by_file[r.file] = r.offset + r.length
+    lost = a.where("page_id is null or page_id not in (3, 400)")
+    assert Counter(r.page_id for r in merkle.audit_report(a, lost).where("not ok").collect()) == {3: 3, 400: 1}
     assert merkle.audit_report(a.limit(0), b.limit(0)).count() == 0
-    monkeypatch.setattr(merkle, "MOST", 10)
-    assert merkle.audit_report(a, b).where("not ok").count() == 2
+    with pytest.raises(ValueError):
+        merkle.leaves(spark.createDataFrame(rows, "page_id long, url string, html string"))
 
 
 def test_mixing(spark, words):
@@ -250,12 +255,18 @@ def test_mixing(spark, words):
     odd = [(900, None, None), (901, "", "aa"), (None, words[0], None), (902, rows[0][1], "aa"), (902, rows[0][1], "aa")]
     df = docs_of(spark, rows + odd, extra=True)
     labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 300, 2)] + [(None, 1), (7, None)], "doc_id long, quality int")
-    out = mixing.mix(df, labels, {"aa/0": 3000.0, "aa/1": 3000.0}).collect()
+    out = mixing.mix(df, labels, {"aa/0": 3000.0, "aa/1": 2000.0}).collect()
     by = {r.doc_id: r for r in out}
     assert len(out) == len(rows) + len(odd) and all(by[i].domain == f"aa/{int(i % 3 != 0)}" for i, _, _ in rows)
-    assert all(r.rate >= 0 for r in out) and by[900].n_tokens == 0
-    total = sum(r.rate * r.n_tokens for r in out)
-    assert abs(total - 6000) < 1
+    assert all(r.rate >= 0 and r.met for r in out) and by[900].n_tokens == 0
+    # Each domain's expected tokens, from the posteriors and the rates that came out.
+    model = mixing.fit(df, labels)
+    members = {r.doc_id: r for r in mixing.memberships(df, model).collect()}
+    totals = sum(by_rate * m.n_tokens * np.array(m.p) for by_rate, m in ((r.rate, members[r.doc_id]) for r in out))
+    assert np.allclose(totals, [3000, 2000], atol=1) and np.allclose([by[0].target, by[1].target], [3000, 2000]) and np.allclose([by[0].reached, by[1].reached], totals, atol=1)
+    # A text as long as all others.
+    long = mixing.mix(docs_of(spark, [*rows, (901, " ".join(words) * 300, None)]), labels).collect()
+    assert max(r.n_tokens for r in long) > 100_000 and all(math.isfinite(r.rate) for r in long)
     assert mixing.mix(docs_of(spark, []), labels).count() == 0
     assert {r.domain for r in mixing.mix(docs_of(spark, rows[:5]), labels.limit(0)).collect()} == {"all"}
 

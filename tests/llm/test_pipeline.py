@@ -1,17 +1,61 @@
 """The pipeline stage by stage against plain versions of what each stage must have done."""
 
-import hashlib
-
 import corpus_pipeline
 
-from linkatlas.llm import simhash
+import pytest
+
+from linkatlas.llm import nearcopies, simhash
 from linkatlas.llm.common import kept
-from test_operators import brute_strip, components_of
+from test_operators import brute_left, docs_of
 
 
 SF = "/root/testdata/sf0.01"
 
 
+def groups_by_hand(texts):
+    """The least id of each group linked by fingerprints within two bits or shingle sets of similarity 0.8, all pairs looked at."""
+    fp = {i: simhash.fingerprint((t or "").encode(), 3) for i, t in texts.items()}
+    sets = {i: set(nearcopies.shingles((t or "").encode()).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids[: ids.index(a)]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            near = sets[a] == sets[b] or 5 * small >= 4 * large > 0 and 9 * len(sets[a] & sets[b]) >= 4 * (small + large)
+            if near or (fp[a] ^ fp[b]).bit_count() <= 2:
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {find(i) for i in ids}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows(spark, empty):
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    clean = "Some words that nobody else has written here at all, and which hold no question of any kind."
+    other = "An entirely different text about ships and harbours, with its own words from beginning to end."
+    long = " ".join(f"w{i % 977}x{i // 977}" for i in range(100_000))
+    rows = [(None, clean), (None, item), (1, other), (1, item), (2, None), (3, ""), (4, "x"), (4, "x"), (None, "x"), (5, long)]
+    docs = docs_of(spark, rows, extra=True)
+    docs = docs.limit(0) if empty else docs
+    out = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    for name, df in out.items():
+        assert name == "source_mixing" or df.columns == docs.columns
+    got = {name: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr) for name, df in out.items() if name != "source_mixing"}
+    of = lambda keep: [] if empty else sorted(keep, key=repr)
+    assert got["toxicity"] == of(rows)
+    assert got["simhash_near_dedup"] == of([(None, clean), (1, other), (1, item), (2, None), (4, "x"), (5, long)])
+    assert got["suffix_array_dedup"] == of(rows) or len(item) >= corpus_pipeline.PASSAGE
+    assert got["benchmark_decontamination"] == of([r for r in rows if r[1] != item])
+    assert out["source_mixing"].count() == (0 if empty else len(rows))
+
+
 def test_stages(spark):
     import duckdb
 
@@ -35,18 +79,19 @@ def test_stages(spark):
             clean = {i for i, in duck.sql("select doc_id from labels where toxic = 0").fetchall()}
             assert len(toxic & ids) < 0.4 * len(toxic) and len(clean & ids) > 0.95 * len(clean)
         if name == "simhash_near_dedup":
-            fp = {i: simhash.fingerprint((t or "").encode(), 3) for i, t in before.items()}
-            comp = components_of(set(fp.values()), 2)
-            least = {}
-            for i, f in fp.items():
-                least[comp[f]] = min(least.get(comp[f], i), i)
-            assert ids == set(least.values())
+            assert ids == groups_by_hand(before)
         if name == "suffix_array_dedup":
-            want = {i: w[3] for i, w in zip(before, brute_strip([(t or "").encode() for t in before.values()], 400))}
+            want = {i: w[3] for i, w in zip(before, brute_left([(t or "").encode() for t in before.values()], corpus_pipeline.PASSAGE))}
             cut = {r.doc_id: r.text for r in after}
             assert ids == set(before)
-            same = [hashlib.sha256((cut[i] or "").encode()).hexdigest() == want[i] for i in ids]
-            assert sum(same) >= len(same) - 3  # but for cuts within a letter
+            assert all((cut[i] or "") == want[i].decode("utf-8", "ignore") for i in ids)
+            # No 51 words in a row are left in two documents.
+            seen_in = {}
+            for i, t in cut.items():
+                w = (t or "").split()
+                for k in range(len(w) - 50):
+                    seen_in.setdefault(hash(tuple(w[k : k + 51])), set()).add(i)
+            assert max(map(len, seen_in.values())) == 1
         if name == "benchmark_decontamination":
             items = [" ".join(t.lower().split()) for t, in duck.sql("select text from benchmark").fetchall()]
             whole = {i for i, t in before.items() if any(x in " ".join((t or "").lower().split()) for x in items)}
