@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: filter, deduplicate, decontaminate and mix.
 
 Each stage takes the documents that the one before kept. All but the last return the columns of
-``documents``; the last returns each kept document's id, tokens, domain and rate.
+``documents``; the last returns each kept document's id, tokens, domain and rate. A document is a row:
+rows with null or repeated ids are judged by their own texts. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -10,31 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkatlas.llm import decontam, mixing, nearcopies, simhash, suffix, toxicity
-from linkatlas.llm.common import components, kept
+from linkatlas.llm.common import components, kept, text_key
+
+#: Bytes of a passage that the suffix-array stage cuts. Passages of over 50 words are longer (the shortest seen has
+#: 289 bytes); ``op7_suffix`` has the 400 bytes of its own contract.
+PASSAGE = 240
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents scored toxic (0.5 or more)."""
+    """Rejects documents scored toxic (0.5 or more).
+
+    Null, empty and letterless texts score as texts without a toxic passage and stay; repeated rows fare alike;
+    long texts are scored whole; an empty table stays empty; other columns, whatever their names, pass through.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.toxic_passages(docs, model).where("score < 0.5").select("row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, id, key): each row whole, its id and its text's key, so that no other column's name matters."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group; documents without an id stay.
+    """Keeps one document of each near-duplicate group: the one with the smallest id, then the least text key.
 
     Links are fingerprints within two bits, and five-word shingle sets with a Jaccard similarity of 0.8 or more.
+    Documents without an id go after those with one; of equal rows one stays; null and empty texts are each
+    other's copies; an empty table stays empty; other columns, whatever their names, pass through.
     """
-    two_bits = simhash.simhash_groups(docs).where("doc_id is not null").select("doc_id", "component_id").distinct()
-    both = kept(two_bits.join(nearcopies.near_groups(docs).distinct(), "doc_id"), "links")
-    roots = kept(components(both.select(F.col("component_id").alias("u"), F.col("near_id").alias("v"))), "roots")
-    groups = both.join(roots.withColumnRenamed("node", "component_id"), "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("root"))
-    stays = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    fps = kept(simhash.simhash_groups(docs.select("doc_id", "text", text_key().alias("th")), 3, "th").select("th", F.col("component").alias("fp")).distinct(), "fingerprints")
+    near = kept(nearcopies.near_groups(docs.select("doc_id", "text")).groupBy("doc_id", "th", "near_root").agg(F.count("*").alias("n")), "near")
+    both = kept(near.join(fps, "th"), "links")
+    # Fingerprint groups that share a group of near copies are one: each is linked with the least of them.
+    hub = kept(both.groupBy("near_root").agg(F.min("fp").alias("hub")), "hubs")
+    edges = both.select("near_root", "fp").distinct().join(hub, "near_root").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    roots = kept(components(edges), "roots")
+    groups = both.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "n", F.coalesce("root", "fp").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("of"), F.col("th").alias("text"), F.col("n").alias("copies")))
+    stays = kept(groups.groupBy("root").agg(first.alias("s")).select("s.of", "s.text", "s.copies"), "stays")
+    found = _keyed(docs).join(stays, (F.col("key") == F.col("text")) & F.col("id").eqNullSafe(F.col("of")))
+    return found.where("copies = 1").select("row.*").unionByName(found.where("copies > 1").dropDuplicates(["id", "key"]).select("row.*"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes or more that occur twice out of the texts; no document goes."""
-    out = suffix.strip_repeats(docs)
+    """Cuts passages of ``PASSAGE`` bytes or more that occur twice out of the texts; no document goes.
+
+    Null texts stay null, texts shorter than a passage stay whole; of equal rows all lose the passage, as do all
+    other places where it stands; an empty table stays empty; other columns, whatever their names, pass through.
+    ``n_chars``, where it is there, is counted anew.
+    """
+    out = suffix.strip_repeats(docs, PASSAGE)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     cols = {"text": text}
     if "n_chars" in docs.columns:
@@ -43,13 +70,23 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
-    held = kept(decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("held")).distinct(), "leaks")
-    return docs.join(held, docs["doc_id"].eqNullSafe(F.col("held")), "left_anti")
+    """Rejects documents that hold a benchmark item, each by its own text.
+
+    Null, empty and short texts hold nothing and stay; equal texts fare alike, whatever their ids; empty tables
+    stay empty, and an empty benchmark rejects nothing; other columns, whatever their names, pass through.
+    """
+    texts = docs.select(text_key().alias("key"), "text")
+    held = decontam.leaks_by("key", texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("key").alias("held")).distinct()
+    held = kept(held, "leaks")
+    return _keyed(docs).join(held, F.col("key") == F.col("held"), "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates for the documents that are left."""
+    """Rates for the documents that are left: doc_id, n_tokens, domain, p_domain, rate and the domain's totals.
+
+    Null and empty texts have no tokens and get the rate of their posterior; equal rows get equal rates; of
+    equally likely domains the first by name is named; an empty table gives no rows; other columns are ignored.
+    """
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
