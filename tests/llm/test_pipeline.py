@@ -4,7 +4,7 @@ import corpus_pipeline
 
 import pytest
 
-from linkatlas.llm import nearcopies, simhash
+from linkatlas.llm import simhash
 from linkatlas.llm.common import kept
 from test_operators import brute_left, docs_of
 
@@ -13,9 +13,8 @@ SF = "/root/testdata/sf0.01"
 
 
 def groups_by_hand(texts):
-    """The least id of each group linked by fingerprints within two bits or shingle sets of similarity 0.8, all pairs looked at."""
+    """The least id of each group linked by fingerprints within two bits, all pairs looked at."""
     fp = {i: simhash.fingerprint((t or "").encode(), 3) for i, t in texts.items()}
-    sets = {i: set(nearcopies.shingles((t or "").encode()).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -26,9 +25,7 @@ def groups_by_hand(texts):
     ids = sorted(texts)
     for a in ids:
         for b in ids[: ids.index(a)]:
-            small, large = sorted((len(sets[a]), len(sets[b])))
-            near = sets[a] == sets[b] or 5 * small >= 4 * large > 0 and 9 * len(sets[a] & sets[b]) >= 4 * (small + large)
-            if near or (fp[a] ^ fp[b]).bit_count() <= 2:
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
     return {find(i) for i in ids}
