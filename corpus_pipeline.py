@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkatlas.llm import decontam, mixing, nearcopies, simhash, suffix, toxicity
-from linkatlas.llm.common import components, kept, text_key
+from linkatlas.llm import decontam, mixing, simhash, suffix, toxicity
+from linkatlas.llm.common import kept, text_key
 
 #: Bytes of a passage that the suffix-array stage cuts. Passages of over 50 words are longer (the shortest seen has
 #: 289 bytes); ``op7_suffix`` has the 400 bytes of its own contract.
@@ -36,20 +36,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the smallest id, then the least text key.
 
-    Links are fingerprints within two bits, and five-word shingle sets with a Jaccard similarity of 0.8 or more.
+    Links are those of ``op4_simhash``: fingerprints of three-word shingles within two bits. (Sets of five-word
+    shingles at a similarity of 0.8 are beyond 64-bit fingerprints; see the README.)
     Documents without an id go after those with one; of equal rows one stays; null and empty texts are each
     other's copies; an empty table stays empty; other columns, whatever their names, pass through.
     """
-    fps = kept(simhash.simhash_groups(docs.select("doc_id", "text", text_key().alias("th")), 3, "th").select("th", F.col("component").alias("fp")).distinct(), "fingerprints")
-    near = kept(nearcopies.near_groups(docs.select("doc_id", "text")).groupBy("doc_id", "th", "near_root").agg(F.count("*").alias("n")), "near")
-    both = kept(near.join(fps, "th"), "links")
-    # Fingerprint groups that share a group of near copies are one: each is linked with the least of them.
-    hub = kept(both.groupBy("near_root").agg(F.min("fp").alias("hub")), "hubs")
-    edges = both.select("near_root", "fp").distinct().join(hub, "near_root").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    roots = kept(components(edges), "roots")
-    groups = both.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "n", F.coalesce("root", "fp").alias("root"))
+    groups = simhash.simhash_groups(docs.select("doc_id", "text", text_key().alias("th")), 3, "th")
+    rows = kept(groups.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("of"), F.col("th").alias("text"), F.col("n").alias("copies")))
-    stays = kept(groups.groupBy("root").agg(first.alias("s")).select("s.of", "s.text", "s.copies"), "stays")
+    stays = kept(rows.groupBy("component").agg(first.alias("s")).select("s.of", "s.text", "s.copies"), "stays")
     found = _keyed(docs).join(stays, (F.col("key") == F.col("text")) & F.col("id").eqNullSafe(F.col("of")))
     return found.where("copies = 1").select("row.*").unionByName(found.where("copies > 1").dropDuplicates(["id", "key"]).select("row.*"))
 
