@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics
-from .functions.formats import counted, permutation, pretty, qualified
+from .functions.formats import counted, percent, permutation, pretty, qualified
 from .operators import traversal
 from .plans import report
 from .plans.build import Wiki
@@ -181,13 +181,55 @@ def node_detail(spark, d):
     return out.select("id", "name", "article_in", "article_out", "category_in", "category_out", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("article_dist", "category_dist")], F.coalesce(F.array_max("article_dist"), F.lit(0)).cast("long").alias("max_count"))
 
 
+def _near_category(w: Wiki) -> DataFrame:
+    return metrics.closeness(traversal.distances(w.category_graph, _sources(w, w.category_graph)))
+
+
 def interesting_nodes(spark, d):
     w = wiki(spark, d)
     ranks, _ = traversal.pagerank(w.article_graph)
-    top = ranks.orderBy(F.desc(F.round("rank", 9)), F.desc("id")).limit(TOP).select("id")
-    largest = traversal.sizes(traversal.strong(w.article_graph)).agg(F.max("size")).first()[0]
-    near = metrics.most_central(_near(w), largest).select(F.col("source").alias("id"))
-    return top.union(near).distinct().join(_names(w), "id")
+    out = ranks.orderBy(F.desc(F.round("rank", 9)), F.desc("id")).limit(TOP).select("id")
+    for near, labels in ((_near(w), traversal.strong(w.article_graph)), (_near_category(w), traversal.connected(w.category_graph))):
+        largest = traversal.sizes(labels).agg(F.max("size")).first()[0]
+        out = out.union(metrics.most_central(near, largest).select(F.col("source").alias("id")))
+    return out.distinct().join(_names(w), "id")
+
+
+def distance_totals_category(spark, d):
+    w = wiki(spark, d)
+    largest = traversal.sizes(traversal.connected(w.category_graph)).agg(F.max("size")).first()[0]
+    return metrics.totals(cut(_near_category(w)), largest)
+
+
+def sampling_coverage(spark, d):
+    w = wiki(spark, d)
+    out = None
+    for kind, near, graph in (("article", _near(w), w.article_graph), ("category", _near_category(w), w.category_graph)):
+        part = metrics.coverage(near, graph.nodes.count()).withColumn("graph", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rank_percent(spark, d):
+    ranks, _ = traversal.pagerank(wiki(spark, d).article_graph)
+    top = ranks.select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), F.desc("id")).limit(TOP)
+    return top.select("id", percent(F.col("rank"), 3).alias("percent"))
+
+
+def spectrum_shown(spark, d):
+    return metrics.shown(distance_spectrum(spark, d), metrics.SPECTRUM_SHOWN)
+
+
+def histograms_shown(spark, d):
+    return metrics.shown(bfs_histogram_article(spark, d), metrics.HISTOGRAM_SHOWN)
+
+
+def components_largest_first(spark, d):
+    return metrics.largest_first(scc_sizes_article(spark, d))
+
+
+def category_rank_job(spark, d):
+    return Jobs(wiki(spark, d)).run("cR")
 
 
 def permutation_sample(spark, d):
@@ -211,9 +253,10 @@ def answer_log(spark, d):
 
 
 def cache_missing_nodes(spark, d):
-    """Customers whose jobs the log does not answer."""
-    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("aD"), F.col("c_custkey")).alias("job"))
-    return customers.join(spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("aD"), F.col("o_custkey")).alias("job")).distinct(), "job", "left_anti")
+    """Distance and degree jobs of each customer's number that a log of distance jobs does not answer."""
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(F.explode(F.array(*[F.concat(F.lit(c), F.col("c_custkey")) for c in ("aD", "aI")])).alias("job"))
+    log = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("aD"), F.col("o_custkey")).alias("job"), F.col("o_orderstatus").alias("result"))
+    return Jobs.missing(asked, log)
 
 
 def dump_scan(spark, d):
@@ -230,7 +273,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     pagerank_topk, load_counters, page_nodes, redirect_resolution, name_dictionary, article_edges, ignored_links, hidden_nodes, category_edges_fw,
     category_edges_transposed, category_graph, degree_article, degree_category, adjacency_list, graph_sanity, in_degree_runs, bfs_histogram_article,
     bfs_histogram_category, distance_spectrum, distance_totals, closeness_topk, scc_sizes_article, cc_sizes_category, node_detail, interesting_nodes,
-    permutation_sample, job_results, pagerank_job, answer_log, cache_missing_nodes, dump_scan,
+    permutation_sample, job_results, pagerank_job, answer_log, cache_missing_nodes, dump_scan, distance_totals_category, sampling_coverage, rank_percent,
+    spectrum_shown, histograms_shown, components_largest_first, category_rank_job,
 )}
 
 _BASE = "with recursive " + ",\n".join(f"{k} as materialized ({v})" for k, v in VIEWS.items()) + """,
@@ -297,6 +341,14 @@ near as materialized (select source, count(*) filter (where dist >= 1) as reacha
 big as (select max(size) as largest from scc),
 central as (select source, round(distances / greatest(reachable, 1), 6) as closeness, reachable from near, big where reachable + 1 >= largest order by closeness, source limit 100)
 """
+_CPR = re.sub(r"\barts\b", "(select graph_id as id from nodes)", re.sub(r"\bart\b", "cat", _PR))
+_CNEAR = """,
+grow(a, b) as (select graph_id, graph_id from nodes union select g.a, c.dst from grow g join (select distinct src, dst from cat) c on c.src = g.b),
+cc as (select size, count(*) as "count" from (select label, count(*) as size from (select a, min(b) as label from grow group by a) group by label) group by size),
+cnear as materialized (select source, count(*) filter (where dist >= 1) as reachable, cast(sum(dist) as bigint) as distances from reach_cat group by source),
+cbig as (select max(size) as largest from cc),
+ccentral as (select source from (select source, round(distances / greatest(reachable, 1), 6) as closeness, reachable from cnear, cbig where reachable + 1 >= largest order by closeness, source limit 100))
+"""
 _BOTH = """,
 din as (select dst as id, count(*) as n from art group by dst), dout as (select src as id, count(*) as n from art group by src),
 cin as (select dst as id, count(*) as n from cat group by dst), cout as (select src as id, count(*) as n from cat group by src)
@@ -351,10 +403,20 @@ select nm.id, nm.name, coalesce(din.n, 0) as article_in, coalesce(dout.n, 0) as
   coalesce(array_to_string(ha.h, ','), '') as article_dist, coalesce(array_to_string(hc.h, ','), '') as category_dist, coalesce(list_max(ha.h), 0) as max_count
 from perm join nm on nm.id = perm.k left join din on din.id = nm.id and nm.id in (select id from arts) left join dout on dout.id = nm.id left join cin on cin.id = nm.id left join cout on cout.id = nm.id
 left join {_hist("art")} ha on ha.source = nm.id left join {_hist("cat")} hc on hc.source = nm.id""",
-    "interesting_nodes": _BASE + _reach("art", "arts") + _SCC + _NEAR + _PR + "select id, name from (select id from top union select source from central) join nm using (id)",
+    "interesting_nodes": _BASE + _reach("art", "arts") + _reach("cat", "nm") + _SCC + _NEAR + _CNEAR + _PR + "select id, name from (select id from top union select source from central union select source from ccentral) join nm using (id)",
+    "distance_totals_category": _BASE + _reach("cat", "nm") + _CNEAR + """select count(*) as nodes_done, cast(sum(distances) as bigint) as distance_sum, cast(sum(reachable) as bigint) as reachable_sum,
+  count(*) filter (where reachable + 1 >= largest) as eligible, round(sum(distances) / sum(reachable), 6) as avg_distance, round(sum(reachable) / count(*), 6) as avg_reachable from cnear, cbig""",
+    "sampling_coverage": _BASE + """select 'article' as graph, (select count(*) from perm where k in (select id from arts)) as nodes_done, count(*) as num_nodes,
+  printf('%.1f', 100 * ((select count(*) from perm where k in (select id from arts)) / count(*))) as percent from arts
+union all select 'category', (select count(*) from perm), n, printf('%.1f', 100 * ((select count(*) from perm) / n)) from cnt""",
+    "rank_percent": _BASE + _PR + "select id, printf('%.3f', 100 * round(rank, 9)) as percent from top",
+    "spectrum_shown": _BASE + _reach("art", "arts") + "select dist, count(*) as n from reach_art where dist < 20 group by dist",
+    "histograms_shown": _BASE + _reach("art", "arts") + "select source, dist, count(*) as n from reach_art where dist < 10 group by source, dist",
+    "components_largest_first": _BASE + _SCC + 'select row_number() over (order by size desc) as place, size, "count" from scc',
+    "category_rank_job": _BASE + _CPR + """select 'cR' as job, '{"ranks":[' || string_agg('[' || printf('%.6f', round(rank, 9)) || ',' || id || ']', ',' order by round(rank, 9) desc, id desc) || ']}' as result from top""",
     "permutation_sample": _BASE + "select i, k from perm",
     "answer_log": "select concat('aD', o_custkey) as job, arg_min(o_orderstatus, o_orderkey) as result from orders group by o_custkey",
-    "cache_missing_nodes": "select concat('aD', c_custkey) as job from customer where c_custkey not in (select o_custkey from orders)",
+    "cache_missing_nodes": "select job from (select concat(c, c_custkey) as job from customer, (values ('aD'), ('aI')) t(c)) where job not in (select concat('aD', o_custkey) from orders)",
     "dump_scan": "select p_partkey as k, cast(null as varchar) as nothing, concat('it''s; (', p_name, ')') as name, p_brand as brand, -1500.0::double as x from part",
     "job_results": _BASE + _reach("art", "arts", "(select 5 as id)") + _reach("cat", "nm", "(select 5 as id)") + _SCC + _BOTH + f"""
 , grow(a, b) as (select graph_id, graph_id from nodes union select g.a, c.dst from grow g join (select distinct src, dst from cat) c on c.src = g.b),

@@ -94,7 +94,7 @@ class Wiki:
     def _from_pages(self) -> DataFrame:
         """Page links with a regular source."""
         source = self.nodes.select(F.col("page_id").alias("pl_from"), F.col("graph_id").alias("src"), F.col("is_category").alias("from_category"))
-        return self.pagelinks.select(F.col("pl_from").cast("long"), "ns", "title").join(source, "pl_from").select("src", "from_category", "ns", "title")
+        return cut(self.pagelinks.select(F.col("pl_from").cast("long"), "ns", "title").join(source, "pl_from").select("src", "from_category", "ns", "title"), "links")
 
     @cached_property
     def article_edges(self) -> DataFrame:
@@ -158,7 +158,7 @@ class Wiki:
         n = self.nodes.agg(F.count("*").alias("Graph_nodes"))
         s = self.seeds.agg(F.coalesce(F.max(F.when(F.col("title") == HIDDEN, F.col("graph_id"))), F.lit(0)).alias("HiddenGraphId"), F.coalesce(F.max(F.when(F.col("title") == STUB, F.col("graph_id"))), F.lit(0)).alias("StubGraphId"))
         i = self.ignored.select(F.col("from_category").alias("Ignored_links_from_category"), F.col("to_category").alias("Ignored_links_to_category"))
-        a = self.article_edges.agg(F.count("*").alias("Article_links"))
+        a = self.article_graph.edges.agg(F.count("*").alias("Article_links"))
         c = self.category_forward.agg(F.count("*").alias("Category_links"))
         out = None
         for one in (p, n, s, a, i, c):

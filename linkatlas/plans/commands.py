@@ -8,8 +8,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import permutation
 from ..operators import traversal
 from ..scratch import cut
+from ..sources.store import first_answers
 from .build import Wiki
 
 TOP, JOB_LENGTH = 100, 100
@@ -35,15 +37,57 @@ class Jobs:
         return self.kept[job]
 
     def run_all(self, jobs: list[str]) -> DataFrame:
+        """Answers to all jobs. Distances and degrees take one pass over each graph, however many nodes are asked for."""
+        jobs = list(dict.fromkeys(job[:JOB_LENGTH] for job in jobs))
+        for (kind, command), nodes in self._batches([j for j in jobs if j not in self.kept]).items():
+            ids = self.spark.createDataFrame([(n,) for n in nodes], "id long")
+            graph = self._graph(kind)
+            if command == "D":
+                found = traversal.count_arrays(traversal.distances(graph, ids)).select(F.col("source").alias("id"), F.struct("count_dist").alias("r"))
+            else:
+                found = graph.degrees().join(ids, "id", "left_semi").select("id", F.struct("in_degree", "out_degree").alias("r"))
+            done = cut(found.select(F.concat(F.lit(kind + command), F.col("id").cast("string")).alias("job"), F.to_json("r").alias("result")), "answers")
+            for n in nodes:
+                self.kept[f"{kind}{command}{n}"] = done.where(F.col("job") == f"{kind}{command}{n}")
         out = self.spark.createDataFrame([], "job string, result string")
-        for job in dict.fromkeys(jobs):
+        for job in jobs:
             out = out.unionByName(self.run(job))
         return out
 
-    def missing(self, jobs: DataFrame, log: DataFrame) -> DataFrame:
+    def _batches(self, jobs: list[str]) -> dict[tuple[str, str], list[int]]:
+        """Of jobs that name a sound node in its plain form, the nodes by graph and command, where there are several."""
+        found: dict[tuple[str, str], list[int]] = {}
+        for job in jobs:
+            if m := re.fullmatch(r"([ac])([DI])([1-9]\d*)", job):
+                if int(m[3]) <= self.total:
+                    found.setdefault((m[1], m[2]), []).append(int(m[3]))
+        wrong: set[int] = set()
+        if asked := [n for (kind, _), nodes in found.items() if kind == "a" for n in nodes]:
+            wrong = {r["graph_id"] for r in self.wiki.nodes.where(F.col("graph_id").isin(asked) & F.col("is_category")).select("graph_id").collect()}
+        found = {k: [n for n in nodes if k[0] == "c" or n not in wrong] for k, nodes in found.items()}
+        return {k: nodes for k, nodes in found.items() if len(nodes) > 1}
+
+    def resume(self, jobs: list[str], log: DataFrame) -> DataFrame:
+        """Answers to all jobs: the first one in a log (pos, job, result) where there is one, computed where there is none."""
+        asked = self.spark.createDataFrame([(j,) for j in dict.fromkeys(jobs)], "job string")
+        todo = [r["job"] for r in self.missing(asked, log).collect()]
+        return first_answers(log).join(asked, "job", "left_semi").unionByName(self.run_all(todo))
+
+    def explore(self, path: str, sample: int, seed: int = 42) -> None:
+        """Fill a folder of answers with category distances of ``sample`` nodes by permutation; nothing is returned."""
+        ids = permutation(self.spark, self.total, seed, sample).select(F.col("k").alias("id"))
+        found = traversal.count_arrays(traversal.distances(self.wiki.category_graph, ids))
+        rows = found.select(F.concat(F.lit("cD"), F.col("source").cast("string")).alias("job"), F.to_json(F.struct("count_dist")).alias("result"))
+        rows.write.mode("append").parquet(path)
+
+    @staticmethod
+    def missing(jobs: DataFrame, log: DataFrame) -> DataFrame:
         """Jobs (job) without an answer in a log (pos, job, result), of which the first answer counts."""
         return jobs.join(log.select("job").distinct(), "job", "left_anti")
 
+    def _graph(self, kind: str):
+        return self.wiki.article_graph if kind == "a" else self.wiki.category_graph
+
     def _row(self, job: str, result: str) -> DataFrame:
         return self.spark.createDataFrame([(job, result)], "job string, result string")
 
@@ -62,7 +106,7 @@ class Jobs:
                 return self._error(job, "Node is category")
         elif command in "DI":
             return self._error(job, "Node out of range")
-        graph = self.wiki.article_graph if kind == "a" else self.wiki.category_graph
+        graph = self._graph(kind)
         if command == "D":
             reached = traversal.distances(graph, self.spark.range(node, node + 1))
             return traversal.count_arrays(reached).select(F.lit(job).alias("job"), F.to_json(F.struct("count_dist")).alias("result"))

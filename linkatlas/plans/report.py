@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.formats import permutation, pretty
+from ..functions.formats import percent, permutation, pretty
 from ..operators import traversal
 from ..scratch import cut
 from .build import Wiki
@@ -29,12 +29,14 @@ def analyze(wiki: Wiki, sample: int | None = None, seed: int = 42, top: int = 10
         sources = picked.join(graph.nodes, "id", "left_semi")
         reached = cut(traversal.distances(graph, sources), "distances")
         near = cut(metrics.closeness(reached), "closeness")
-        out |= {f"{kind}_components": sizes, f"{kind}_spectrum": metrics.spectrum(reached), f"{kind}_totals": metrics.totals(near, largest), f"{kind}_histograms": traversal.count_arrays(reached), f"{kind}_degrees": graph.degrees()}
+        out |= {f"{kind}_components": sizes, f"{kind}_components_largest_first": metrics.largest_first(sizes), f"{kind}_coverage": metrics.coverage(near, graph.nodes.count())}
+        out |= {f"{kind}_spectrum": metrics.spectrum(reached), f"{kind}_spectrum_shown": metrics.shown(metrics.spectrum(reached), metrics.SPECTRUM_SHOWN), f"{kind}_totals": metrics.totals(near, largest), f"{kind}_histograms": traversal.count_arrays(reached), f"{kind}_degrees": graph.degrees()}
         if largest:
             out[f"{kind}_closeness"] = cut(metrics.most_central(near, largest, top), "central")
             tops.append(out[f"{kind}_closeness"].select(F.col("source").alias("id")))
     ranks, _ = traversal.pagerank(wiki.article_graph)
     out["article_ranks"] = cut(ranks.orderBy(F.desc(F.round("rank", 9)), F.desc("id")).limit(top), "ranks")
+    out["article_rank_percent"] = out["article_ranks"].select("id", percent(F.round("rank", 9), 3).alias("percent"))
     chosen = out["article_ranks"].select("id")
     for t in tops:
         chosen = chosen.union(t)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if the cluster names one, else a new local folder (tests)."""
+    """``spark.checkpoint.dir`` if the cluster names one; a local master without it gets a new local folder (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="linkatlas-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -28,5 +28,11 @@ def write_text(graph: Graph, path: str) -> None:
 
 
 def first_answers(log: DataFrame) -> DataFrame:
-    """A replayed log (pos, job, result) with the first answer to each job."""
+    """A replayed log (pos, job, result; pos of any type that has an order) with the first answer to each job."""
     return log.groupBy("job").agg(F.min_by("result", "pos").alias("result"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, job, result): a folder of answers as ``serve`` and ``Jobs.explore`` leave it, older files first."""
+    rows = spark.read.parquet(path).select("job", "result", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
+    return rows.select(F.struct("t", "f", "i").alias("pos"), "job", "result")

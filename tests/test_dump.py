@@ -12,6 +12,7 @@ from linkatlas.plans.commands import Jobs
 from linkatlas.sources.dump import read_dump, read_wiki, resolve, tuples
 from linkatlas.streaming.jobs import serve
 
+#: A small wiki whose graph and results were worked out by hand; the test is end to end, so it needs the whole of it.
 PAGES = [(1, 0, "Main_Page", 0), *[(i, 0, f"P{i - 1}", 0) for i in range(2, 6)], *[(i, 0, f"MESH{i - 5}", 0) for i in range(6, 13)], (13, 14, "Pages_with_P_prefix", 0), (14, 14, "Main_category", 0), (15, 0, "REDIR1", 1), (16, 0, "REDIR2", 1), (17, 0, "REDIR3", 1), (18, 0, "Real_page", 0), (19, 0, "Links_to_redir_page", 0), (20, 14, "This_is_hidden", 0), (21, 14, "Hidden_categories", 0)]
 REDIRECTS = [(15, 0, "REDIR2"), (16, 0, "REDIR3"), (17, 0, "Real_page")]
 LINKS = [(1, 14, "Main_category"), (3, 0, "P1"), (4, 0, "P1"), (5, 0, "P1"), (6, 0, "MESH2"), (6, 0, "MESH4"), (6, 0, "MESH7"), (7, 0, "MESH3"), (8, 0, "MESH1"), (9, 0, "MESH5"), (9, 0, "MESH6"), (10, 0, "MESH4"), (11, 0, "MESH1"), (12, 0, "MESH4"), (12, 0, "MESH5"), (12, 0, "MESH6"), (14, 0, "Main_Page"), (15, 0, "REDIR2"), (16, 0, "REDIR3"), (17, 0, "Real_page"), (19, 0, "REDIR1")]
@@ -135,3 +136,25 @@ def test_redirect_order_and_odd_targets(spark):
     assert sorted(map(tuple, w.article_edges.collect())) == sorted([(f, e), (f, e), (e, e)])
     assert tuple(w.ignored.first()) == (2, 0)
     assert sorted(map(tuple, w.category_forward.collect())) == sorted([(f, e), (ids["Top"], c)])
+
+
+def test_command_line(spark, demo, tmp_path, monkeypatch, capsys):
+    from linkatlas import __main__ as cli
+    from linkatlas.sources.store import read_log
+
+    monkeypatch.setattr(cli, "read_wiki", lambda *_: demo)
+    answers = f"file://{tmp_path}/answers"
+    cli.main(["--sample", "5", "explore", "dumps", answers])
+    log = read_log(spark, answers)
+    assert log.count() == 5 and all(r.job.startswith("cD") for r in log.collect())
+    known = log.first().job
+    cli.main(["jobs", "dumps", known, "aD6", "aD7", "cS", "--log", answers])
+    out = dict(line.split("\t") for line in capsys.readouterr().out.splitlines())
+    assert out["aD6"] == '{"count_dist":[1,3,3]}' and out["aD7"] == '{"count_dist":[1,1,1,2,2]}' and out["cS"].startswith('{"components"') and known in out
+    cli.main(["--sample", "4", "report", "dumps", str(tmp_path / "r.html"), "--state", f"file://{tmp_path}/state"])
+    page = (tmp_path / "r.html").read_text()
+    assert "article_coverage" in page and "article_rank_percent" in page
+    cli.main(["report", "dumps", str(tmp_path / "again.html"), "--load", f"file://{tmp_path}/state"])
+    assert "article_components_largest_first" in (tmp_path / "again.html").read_text()
+    cli.main(["print", "dumps", f"file://{tmp_path}/text"])
+    assert {r.value for r in spark.read.text(f"file://{tmp_path}/text/article").collect()} >= {"7: 8", "6: 7 9 12"}
