@@ -33,7 +33,7 @@ union all select 30000000+r_regionkey, 14, case r_regionkey when 0 then 'Hidden_
 select p_partkey+1 as rd_from, 0 as ns, concat('P', case when p_partkey%100=99 then p_partkey+1 else p_partkey+20 end) as title from part where p_partkey%20=19""",
     "w_pagelinks": """
 select distinct a.l_partkey+1 as pl_from, 0 as ns, concat('P',b.l_partkey) as title
-from lineitem a join lineitem b on a.l_orderkey=b.l_orderkey and b.l_linenumber=a.l_linenumber+1 where a.l_suppkey%5=0
+from lineitem a join lineitem b on a.l_orderkey=b.l_orderkey and b.l_linenumber=a.l_linenumber+1
 union all select 10000000+s_suppkey, 0, concat('P',s_suppkey) from supplier where s_suppkey%3=0
 union all select 10000000+s_suppkey, 14, concat('N',s_nationkey) from supplier where s_suppkey%4=0
 union all select p_partkey+1, 14, concat('S',p_partkey%10) from part where p_partkey%7=0""",
@@ -42,6 +42,7 @@ select distinct l_partkey+1 as cl_from, concat('S',l_suppkey) as cl_to from line
 union all select 10000000+s_suppkey, concat('N',s_nationkey) from supplier
 union all select 20000000+n_nationkey, case n_regionkey when 0 then 'Hidden_categories' when 4 then 'Stub_categories' else concat('R',n_regionkey) end from nation""",
 }
+#: SOURCES is how many nodes ``permutation_sample``, ``sampling_coverage`` and ``node_detail`` pick; the distance queries search from all nodes.
 SOURCES, SEED, TOP = 20, 42, 100
 
 
@@ -130,21 +131,21 @@ def in_degree_runs(spark, d):
 
 def bfs_histogram_article(spark, d):
     w = wiki(spark, d)
-    return traversal.histograms(traversal.distances(w.article_graph, _sources(w, w.article_graph)))
+    return traversal.search(w.article_graph, w.article_graph.nodes)
 
 
 def bfs_histogram_category(spark, d):
     w = wiki(spark, d)
-    return traversal.histograms(traversal.distances(w.category_graph, _sources(w, w.category_graph)))
+    return traversal.search(w.category_graph, w.category_graph.nodes)
 
 
 def distance_spectrum(spark, d):
     w = wiki(spark, d)
-    return metrics.spectrum(traversal.distances(w.article_graph, _sources(w, w.article_graph)))
+    return metrics.spectrum(traversal.search(w.article_graph, w.article_graph.nodes))
 
 
 def _near(w: Wiki) -> DataFrame:
-    return metrics.closeness(traversal.distances(w.article_graph, _sources(w, w.article_graph)))
+    return metrics.closeness(traversal.search(w.article_graph, w.article_graph.nodes))
 
 
 def distance_totals(spark, d):
@@ -182,7 +183,7 @@ def node_detail(spark, d):
 
 
 def _near_category(w: Wiki) -> DataFrame:
-    return metrics.closeness(traversal.distances(w.category_graph, _sources(w, w.category_graph)))
+    return metrics.closeness(traversal.search(w.category_graph, w.category_graph.nodes))
 
 
 def interesting_nodes(spark, d):
@@ -204,7 +205,8 @@ def distance_totals_category(spark, d):
 def sampling_coverage(spark, d):
     w = wiki(spark, d)
     out = None
-    for kind, near, graph in (("article", _near(w), w.article_graph), ("category", _near_category(w), w.category_graph)):
+    for kind, graph in (("article", w.article_graph), ("category", w.category_graph)):
+        near = metrics.closeness(traversal.search(graph, _sources(w, graph)))
         part = metrics.coverage(near, graph.nodes.count()).withColumn("graph", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out
@@ -304,14 +306,15 @@ perm as (select i, (((i - 1) * s) % n + 1)::bigint as k from (select unnest(rang
 """
 
 
-def _reach(edges: str, nodes: str, sources: str = "(select k as id from perm)") -> str:
-    name = f"reach_{edges}"
+def _reach(edges: str, nodes: str, sources: str = "") -> str:
     return f""",
 step_{edges} as materialized (select distinct src, dst from {edges}),
-walk_{edges}(source, node, dist) as (
-  select s.id, s.id, 0 from {sources} s where s.id in (select id from {nodes})
-  union select w.source, e.dst, w.dist + 1 from walk_{edges} w join step_{edges} e on e.src = w.node where w.dist < 48),
-{name} as materialized (select source, node, min(dist) as dist from walk_{edges} group by source, node)
+walk_{edges}(source, node, dist) using key (source, node) as (
+  select s.id, s.id, 0 from {sources or nodes} s where s.id in (select id from {nodes})
+  union
+  select w.source, e.dst, min(w.dist) + 1 from walk_{edges} w join step_{edges} e on e.src = w.node
+  where not exists (select 1 from recurring.walk_{edges} r where r.source = w.source and r.node = e.dst) group by w.source, e.dst),
+reach_{edges} as materialized (select source, node, dist from walk_{edges})
 """
 
 
@@ -398,7 +401,7 @@ select metric, cast(value as bigint) as value from (
 grow(a, b) as (select graph_id, graph_id from nodes union select g.a, c.dst from grow g join (select distinct src, dst from cat) c on c.src = g.b)
 select size, count(*) as "count" from (select label, count(*) as size from (select a, min(b) as label from grow group by a) group by label) group by size""",
     "pagerank_topk": _BASE + _PR + "select id, name, round(rank, 6) as rank from top join nm using (id)",
-    "node_detail": _BASE + _reach("art", "arts") + _reach("cat", "nm") + _BOTH + f"""
+    "node_detail": _BASE + _reach("art", "arts", "(select k as id from perm)") + _reach("cat", "nm", "(select k as id from perm)") + _BOTH + f"""
 select nm.id, nm.name, coalesce(din.n, 0) as article_in, coalesce(dout.n, 0) as article_out, coalesce(cin.n, 0) as category_in, coalesce(cout.n, 0) as category_out,
   coalesce(array_to_string(ha.h, ','), '') as article_dist, coalesce(array_to_string(hc.h, ','), '') as category_dist, coalesce(list_max(ha.h), 0) as max_count
 from perm join nm on nm.id = perm.k left join din on din.id = nm.id and nm.id in (select id from arts) left join dout on dout.id = nm.id left join cin on cin.id = nm.id left join cout on cout.id = nm.id

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut, free
 from .graph import Graph
+from .numbering import dense_ids
 
 DAMPING, TOLERANCE = 0.85, 1e-3
+#: Words of 64 sources that one row of ``search`` carries.
+WORDS = 8
 
 
 def distances(graph: Graph, sources: DataFrame) -> DataFrame:
@@ -34,14 +37,56 @@ def distances(graph: Graph, sources: DataFrame) -> DataFrame:
     return result
 
 
+def search(graph: Graph, sources: DataFrame) -> DataFrame:
+    """(source, dist, n): how many nodes each source (id) first reaches at each distance, itself at 0.
+
+    The sources are numbered and travel as bits: a row holds, for one node and one block of ``WORDS`` * 64
+    sources, which of them have reached the node and which did so in the last round. A round is one join with
+    the links and one aggregation; pairs of source and node are never rows. Repeated sources count once, null ones
+    not at all; no sources give no rows.
+    """
+    span = 64 * WORDS
+    numbered = cut(dense_ids(sources.select("id").where("id is not null").distinct(), "id", "k").select("id", (F.col("k") - 1).alias("k")), "sources")
+    edges = cut(graph.edges.select("src", "dst").distinct(), "steps")
+    at = F.pmod("k", F.lit(span))
+    own = [F.when(F.floor(at / 64) == w, F.expr("shiftleft(1L, cast(k % 64 as int))")).otherwise(F.lit(0).cast("long")) for w in range(WORDS)]
+    seen, fresh = [f"s{w}" for w in range(WORDS)], [f"f{w}" for w in range(WORDS)]
+    none = lambda names: [F.lit(0).cast("long").alias(c) for c in names]
+    state = numbered.select(F.col("id").alias("node"), F.floor(F.col("k") / span).alias("block"), *[b.alias(c) for names in (seen, fresh) for b, c in zip(own, names)])
+    state, levels = cut(state, "reached"), []
+    anew = " or ".join(f"{c} <> 0" for c in fresh)
+    while True:
+        words = state.where(anew).select("block", F.posexplode(F.array(*fresh)).alias("word", "bits")).where("bits <> 0")
+        per_source = F.array(*[F.sum(F.getbit("bits", F.lit(i)).cast("long")) for i in range(64)])
+        level = cut(words.groupBy("block", "word").agg(per_source.alias("n")).withColumn("dist", F.lit(len(levels))), "level")
+        levels.append(level)
+        if level.isEmpty():
+            break
+        met = state.where(anew).select(F.col("node").alias("src"), "block", *fresh).join(edges, "src").select(F.col("dst").alias("node"), "block", *none(seen), *fresh)
+        both = state.select("node", "block", *seen, *none(fresh)).unionByName(met).groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in seen + fresh])
+        joined = [F.col(s).bitwiseOR(F.col(f)).alias(s) for s, f in zip(seen, fresh)] + [F.col(f).bitwiseAND(F.bitwise_not(F.col(s))).alias(f) for s, f in zip(seen, fresh)]
+        after = cut(both.select("node", "block", *joined), "reached")
+        free(state)
+        state = after
+    free(state)
+    free(edges)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    out = out.select("dist", "block", "word", F.posexplode("n").alias("bit", "n")).where("n > 0")
+    out = out.select("dist", "n", (F.col("block") * span + F.col("word") * 64 + F.col("bit")).alias("k"))
+    return out.join(numbered, "k").select(F.col("id").alias("source"), "dist", "n")
+
+
 def histograms(reached: DataFrame) -> DataFrame:
     """(source, dist, n): how many nodes each source first reaches at each distance."""
     return reached.groupBy("source", "dist").agg(F.count("*").alias("n"))
 
 
 def count_arrays(reached: DataFrame) -> DataFrame:
-    """(source, count_dist): the histogram as an array indexed by distance."""
-    h = histograms(reached).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("dist", "n"))).alias("h"))
+    """(source, count_dist): the histogram as an array indexed by distance; of pairs (source, node, dist) or of histograms."""
+    h = reached if "n" in reached.columns else histograms(reached)
+    h = h.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("dist", "n"))).alias("h"))
     return h.select("source", F.transform("h", lambda x: x["n"]).alias("count_dist"))
 
 

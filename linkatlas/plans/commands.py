@@ -43,7 +43,7 @@ class Jobs:
             ids = self.spark.createDataFrame([(n,) for n in nodes], "id long")
             graph = self._graph(kind)
             if command == "D":
-                found = traversal.count_arrays(traversal.distances(graph, ids)).select(F.col("source").alias("id"), F.struct("count_dist").alias("r"))
+                found = traversal.count_arrays(traversal.search(graph, ids)).select(F.col("source").alias("id"), F.struct("count_dist").alias("r"))
             else:
                 found = graph.degrees().join(ids, "id", "left_semi").select("id", F.struct("in_degree", "out_degree").alias("r"))
             done = cut(found.select(F.concat(F.lit(kind + command), F.col("id").cast("string")).alias("job"), F.to_json("r").alias("result")), "answers")
@@ -76,7 +76,7 @@ class Jobs:
     def explore(self, path: str, sample: int, seed: int = 42) -> None:
         """Fill a folder of answers with category distances of ``sample`` nodes by permutation; nothing is returned."""
         ids = permutation(self.spark, self.total, seed, sample).select(F.col("k").alias("id"))
-        found = traversal.count_arrays(traversal.distances(self.wiki.category_graph, ids))
+        found = traversal.count_arrays(traversal.search(self.wiki.category_graph, ids))
         rows = found.select(F.concat(F.lit("cD"), F.col("source").cast("string")).alias("job"), F.to_json(F.struct("count_dist")).alias("result"))
         rows.write.mode("append").parquet(path)
 

@@ -27,7 +27,7 @@ def analyze(wiki: Wiki, sample: int | None = None, seed: int = 42, top: int = 10
         sizes = cut(traversal.sizes(labels), "sizes")
         largest = sizes.agg(F.max("size")).first()[0] or 0
         sources = picked.join(graph.nodes, "id", "left_semi")
-        reached = cut(traversal.distances(graph, sources), "distances")
+        reached = cut(traversal.search(graph, sources), "distances")
         near = cut(metrics.closeness(reached), "closeness")
         out |= {f"{kind}_components": sizes, f"{kind}_components_largest_first": metrics.largest_first(sizes), f"{kind}_coverage": metrics.coverage(near, graph.nodes.count())}
         out |= {f"{kind}_spectrum": metrics.spectrum(reached), f"{kind}_spectrum_shown": metrics.shown(metrics.spectrum(reached), metrics.SPECTRUM_SHOWN), f"{kind}_totals": metrics.totals(near, largest), f"{kind}_histograms": traversal.count_arrays(reached), f"{kind}_degrees": graph.degrees()}
@@ -51,7 +51,7 @@ def detail(wiki: Wiki, ids: DataFrame) -> DataFrame:
     for kind, graph in (("article", wiki.article_graph), ("category", wiki.category_graph)):
         sources = ids.select("id").distinct().join(graph.nodes, "id", "left_semi")
         d = graph.degrees().join(sources, "id", "left_semi").select("id", F.col("in_degree").alias(f"{kind}_in"), F.col("out_degree").alias(f"{kind}_out"))
-        h = traversal.count_arrays(traversal.distances(graph, sources)).select(F.col("source").alias("id"), F.col("count_dist").alias(f"{kind}_dist"))
+        h = traversal.count_arrays(traversal.search(graph, sources)).select(F.col("source").alias("id"), F.col("count_dist").alias(f"{kind}_dist"))
         out = out.join(d, "id", "left").join(h, "id", "left")
         out = out.fillna(0, [f"{kind}_in", f"{kind}_out"]).withColumn(f"{kind}_dist", F.coalesce(f"{kind}_dist", F.array().cast("array<long>")))
     return out
