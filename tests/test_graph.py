@@ -117,3 +117,29 @@ def test_store(spark, tmp_path):
     back = read_graph(spark, f"file://{tmp_path}/g")
     assert back.nodes.count() == 4
     assert sorted(map(tuple, back.edges.collect())) == sorted(THREE)
+
+
+def test_search_by_bits(spark):
+    """More sources than one row carries, against a plain search; repeated and null sources, self and parallel links."""
+    from collections import Counter, deque
+
+    rng = random.Random(7)
+    n = 64 * traversal.WORDS + 90
+    edges = [(rng.randint(1, n), rng.randint(1, n)) for _ in range(n)] + [(1, 1), (2, 3), (2, 3)]
+    g = Graph(spark.range(1, n + 1), spark.createDataFrame(edges, "src long, dst long"))
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = {}
+    for s in range(1, n + 1):
+        dist, todo = {s: 0}, deque([s])
+        while todo:
+            u = todo.popleft()
+            for v in after.get(u, ()):
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    todo.append(v)
+        want |= {(s, d): k for d, k in Counter(dist.values()).items()}
+    sources = spark.createDataFrame([(i,) for i in [*range(1, n + 1), 5, None]], "id long")
+    assert {(r.source, r.dist): r.n for r in traversal.search(g, sources).collect()} == want
+    assert traversal.search(g, sources.limit(0)).count() == 0
