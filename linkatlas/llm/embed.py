@@ -10,7 +10,8 @@ nothing is fitted on a sample.
 
 Equal vectors are one entry with a count. A cell is worked off in blocks of ``BLOCK`` vectors against
 each other, spread over tasks; a block yields a count for each vector and a spanning forest of its
-links, never the pairs. A pair counts in the first table where it meets.
+links, never the pairs. A pair counts in the first table where it meets, which the keys of the earlier
+tables tell; they travel with the vector.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Held, bounded_batches, bounds, components, grouped, kept
 
-WIDTH, SEED, STRAYS, MEETINGS, BLOCK = 2.0, 7, 0.01, 2.7, 512
+WIDTH, SEED, STRAYS, MEETINGS, BLOCK, SMALL = 2.0, 7, 0.1, 2.7, 512, 24
 
 
 def same_cell(distance: float, width: float = WIDTH) -> float:
@@ -62,33 +63,50 @@ def cells(unit: np.ndarray, directions: int, tables: int, some: int = 1 << 23) -
     return out
 
 
-def _block(table: int, copies: np.ndarray, side: np.ndarray, x: np.ndarray, least_cos: float, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For the vectors of one block pair: links first met in ``table``, and each one's root among the block's links."""
-    unit = units(x)
-    link = unit @ unit.T >= least_cos
-    np.fill_diagonal(link, False)
-    if side.any() and not side.all():
-        link &= side[:, None] != side[None, :]
-    a, b = np.nonzero(link)
-    root = np.arange(len(x))
-    if not len(a):
-        return np.zeros(len(x), np.int64), root
-    fresh = np.ones(len(a), bool)
-    if table:
-        # Only vectors that have a link are hashed again, to see whether an earlier table has it too.
-        linked, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-        key = cells(unit[linked], *shape)[:, :table]
-        pa_, pb = place[: len(a)], place[len(a) :]
-        for at in range(0, len(a), 1 << 14):
-            s = slice(at, at + (1 << 14))
-            fresh[s] = ~(key[pa_[s]] == key[pb[s]]).any(1)
-    n = np.bincount(a[fresh], weights=copies[b[fresh]], minlength=len(x)).astype(np.int64)
+def _met(unit: np.ndarray, first: np.ndarray, size: np.ndarray, cross: np.ndarray, side: np.ndarray, least_cos: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The linked pairs of rows of each group, a share at a time; of a ``cross`` group, only those of unlike ``side``.
+
+    Pairs of small groups are compared many groups at once, those of larger ones by a product of matrices, where
+    cosines too near the threshold for the order of summation are taken again as for small groups.
+    """
+    cosine = lambda a, b: np.einsum("ij,ij->i", unit[a], unit[b])
+    step = max(1, (1 << 22) // unit.shape[1])
+    for s in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        own = size == s
+        i, j = np.triu_indices(s, 1)
+        starts, parted = first[own], cross[own]
+        many = max(1, step // len(i))
+        for at in range(0, len(starts), many):
+            begin = starts[at : at + many, None]
+            a, b = (begin + i).ravel(), (begin + j).ravel()
+            hit = cosine(a, b) >= least_cos
+            hit &= ~np.repeat(parted[at : at + many], len(i)) | (side[a] != side[b])
+            yield a[hit], b[hit]
+    for at, s, parted in zip(*(x[size > SMALL].tolist() for x in (first, size, cross)), strict=True):
+        x = unit[at : at + s]
+        dot = x @ x.T
+        a, b = np.nonzero(np.triu(dot >= least_cos - 1e-9, 1))
+        near = np.abs(dot[a, b] - least_cos) <= 1e-9
+        a, b = a + at, b + at
+        hit = ~near
+        hit[near] = cosine(a[near], b[near]) >= least_cos
+        if parted:
+            hit &= side[a] != side[b]
+        yield a[hit], b[hit]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links a - b that are not their own root, and their roots."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root, a, b = np.arange(len(nodes)), place[: len(a)], place[len(a) :]
     while True:
         new = root.copy()
         np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
         new = new[new]
         if (new == root).all():
-            return n, root
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            return nodes[moved], nodes[root[moved]]
         root = new
 
 
@@ -112,7 +130,8 @@ def vector_links(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
     v = F.col("embedding")
     sound = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     # Equal vectors by 128 bits of hash.
-    rows = vectors.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long"), v.cast(f"array<{kind}>").alias("embedding"))
     rows = rows.withColumn("a", F.when(sound, F.xxhash64(v))).withColumn("b", F.when(sound, F.xxhash64(F.lit("b"), v)))
     ids = rows.select("vec_id", "a", "b")
     classes = rows.where("a is not null").groupBy("a", "b").agg(F.first("embedding").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
@@ -121,15 +140,15 @@ def vector_links(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, at = _rows(b.column(1))
+            values, at = _rows(b.column(2))
             size = np.diff(at)
             for d in np.unique(size):
                 own = np.flatnonzero(size == d)
-                out = cells(units(values[at[own][:, None] + np.arange(d)]), *shape)
+                out = cells(units(values[at[own][:, None] + np.arange(d)].astype(np.float64)), *shape)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * shape[1], pa.int32()), pa.array(out.ravel()))
-                yield pa.record_batch([b.column(0).take(pa.array(own)), pa.array(np.full(len(own), d, np.int64)), lists], names=["cid", "d", "keys"])
+                yield pa.record_batch([*(b.column(c).take(pa.array(own)) for c in range(3)), pa.array(np.full(len(own), d, np.int64)), lists], names=["cid", "copies", "v", "d", "keys"])
 
-    hashed = keep(classes.select("cid", "v").mapInArrow(keys, "cid long, d long, keys array<long>"), "keys")
+    hashed = keep(classes.select("cid", "copies", "v").mapInArrow(keys, f"cid long, copies long, v array<{kind}>, d long, keys array<long>"), "keys")
     post = hashed.select("cid", "d", F.posexplode("keys").alias("t", "key"))
     cell = ["t", "key", "d"]
     lists = keep(post.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1"), "lists")
@@ -139,25 +158,35 @@ def vector_links(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select(*cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
     )
-    full = met.join(classes.select("cid", "v", "copies"), "cid")
+    full = met.join(hashed.select("cid", "v", "copies", "keys"), "cid").withColumn("keys", F.slice("keys", 1, F.col("t")))
     order = [*cell, "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, order):
             cut = bounds(table, order)
-            t, cid, copies = (table.column(c).to_numpy() for c in ("t", "cid", "copies"))
-            side = table.column("own").to_numpy() == table.column("i").to_numpy()
+            cid, copies, t, d, i, j, own = (table.column(c).to_numpy() for c in ("cid", "copies", "t", "d", "i", "j", "own"))
             values, at = _rows(table.column("v"))
-            ids, counts, roots = [], [], []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a > 1:
-                    n, root = _block(int(t[a]), copies[a:b], side[a:b], values[at[a] : at[b]].reshape(b - a, -1), least_cos, shape)
-                    hit = np.flatnonzero((n > 0) | (root != np.arange(b - a)))
-                    ids.append(cid[a:b][hit])
-                    counts.append(n[hit])
-                    roots.append(cid[a:b][root[hit]])
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, counts, roots)], names=["cid", "n", "root"])
+            earlier, key_at = _rows(table.column("keys"))
+            # Runs of groups of one table and one length.
+            runs = np.flatnonzero((t[cut[:-1]][1:] != t[cut[:-1]][:-1]) | (d[cut[:-1]][1:] != d[cut[:-1]][:-1])) + 1
+            for g, h in zip([0, *runs.tolist()], [*runs.tolist(), len(cut) - 1], strict=True):
+                lo, hi = cut[g], cut[h]
+                unit = units(values[at[lo] : at[hi]].reshape(hi - lo, -1).astype(np.float64))
+                key = earlier[key_at[lo] : key_at[hi]].reshape(hi - lo, -1)
+                n, links = np.zeros(hi - lo, np.int64), []
+                first = cut[g:h] - lo
+                for a, b in _met(unit, first, np.diff(cut[g : h + 1]), i[cut[g:h]] != j[cut[g:h]], own[lo:hi] == i[lo:hi], least_cos):
+                    fresh = np.concatenate([~(key[a[s : s + (1 << 14)]] == key[b[s : s + (1 << 14)]]).any(1) for s in range(0, len(a), 1 << 14)] or [np.zeros(0, bool)])
+                    np.add.at(n, a[fresh], copies[lo + b[fresh]])
+                    np.add.at(n, b[fresh], copies[lo + a[fresh]])
+                    # A link that an earlier table has is in that table's forest.
+                    links.append(_forest(a[fresh], b[fresh]))
+                hit = np.flatnonzero(n > 0)
+                node = np.concatenate([hit, *(x for x, _ in links)])
+                root = np.concatenate([hit, *(x for _, x in links)])
+                counts = np.concatenate([n[hit], np.zeros(len(node) - len(hit), np.int64)])
+                if len(node):
+                    yield pa.record_batch([pa.array(cid[lo + node]), pa.array(counts), pa.array(cid[lo + root])], names=["cid", "n", "root"])
 
     found = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     found = keep(found.mapInArrow(compare, "cid long, n long, root long"), "found")
