@@ -32,11 +32,12 @@ from .elias import EliasFano, Shards, write_file
 from .folds import fold
 
 FOLDS, HELD, MU = 7, 2, 300.0
-#: Words or pairs that a shard is meant to hold at most, on average, and tokens to a part of the pairs' shards.
-WORDS_PER_SHARD, PAIRS_PER_SHARD, TOKENS_PER_PART = 1 << 18, 1 << 19, 1 << 21
+#: Words, or tokens that give pairs, to a shard at most, on average, and tokens to a part of the pairs' shards. A look-up asks
+#: every shard once, so shards are as large as a part.
+WORDS_PER_SHARD, PAIRS_PER_SHARD, TOKENS_PER_PART = 1 << 18, 1 << 21, 1 << 21
 FLOOR = 16.0
-#: Words whose ids a task remembers, tokens that it looks up at once, and pairs that it holds before it sends them.
-REMEMBERED, AT_ONCE, SENT_AT_ONCE = 300_000, 250_000, 2_000_000
+#: Words whose ids a task remembers, tokens whose words and whose pairs it looks up at once, and pairs that it holds before it sends them.
+REMEMBERED, AT_ONCE, PAIRS_AT_ONCE, SENT_AT_ONCE = 300_000, 250_000, 1_000_000, 2_000_000
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], bytes]]:
@@ -344,23 +345,48 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, trie = Words(model), Pairs(model)
+        held: list[tuple] = []  # a batch's sums; its pieces' texts and lengths; ids, counts, ids before, counts before
+        ready: list[tuple] = []  # batches not yet sent, with their sums
+
+        def settle() -> None:
+            ids, n, v, c = (np.concatenate([h[k] for h in held]) for k in range(3, 7))
+            p1 = base_p(n, model)
+            back = np.log10(np.where(v >= 0, model["mu"] * p1 / (np.where(v >= 0, c, 0) + model["mu"]), p1))
+            both = np.flatnonzero((v >= 0) & (ids >= 0))
+            one, two, _, place = distinct(v[both], ids[both])
+            found = trie.look(one, two)[place] if len(one) else np.zeros(0)
+            seen = ~np.isnan(found)
+            back[both[seen]] = found[seen]
+            each, at = (np.ones(len(n)), (n > 0).astype(float), np.log10(p1), back), 0
+            for out, owner, length, own, *_ in held:
+                start = np.cumsum(length) - length
+                for k, x in enumerate(each):
+                    out[k] += np.bincount(owner, weights=np.add.reduceat(x[at : at + len(own)], start), minlength=out.shape[1])
+                at += len(own)
+            held.clear()
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if held:
+                settle()
+            for ids, out in ready:
+                yield pa.record_batch([ids, *(pa.array(x.astype(np.int64)) for x in out[:2]), *map(pa.array, out[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            ready.clear()
+
         for b in batches:
-            out = np.zeros((4, b.num_rows))
+            out, full = np.zeros((4, b.num_rows)), False
+            ready.append((b.column(0), out))
             for words, before, length, owner in together(raw_texts(b.column(1))):
                 ids, n = level.of(words)
                 v, c = np.concatenate(([0], ids[:-1])), np.concatenate(([0], n[:-1]))
                 start = np.cumsum(length) - length
                 v[start], c[start] = level.of(before)
-                p1 = base_p(n, model)
-                back = np.log10(np.where(v >= 0, model["mu"] * p1 / (np.where(v >= 0, c, 0) + model["mu"]), p1))
-                both = np.flatnonzero((v >= 0) & (ids >= 0))
-                one, two, _, place = distinct(v[both], ids[both])
-                found = trie.look(one, two)[place] if len(one) else np.zeros(0)
-                seen = ~np.isnan(found)
-                back[both[seen]] = found[seen]
-                for k, x in enumerate((np.ones(len(n)), (n > 0).astype(float), np.log10(p1), back)):
-                    out[k] += np.bincount(owner, weights=np.add.reduceat(x, start), minlength=b.num_rows)
-            yield pa.record_batch([b.column(0), *(pa.array(x.astype(np.int64)) for x in out[:2]), *map(pa.array, out[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                held.append((out, owner, length, ids, n, v, c))
+                if sum(len(h[3]) for h in held) > PAIRS_AT_ONCE:
+                    settle()
+                    full = True
+            if full:
+                yield from send()
+        yield from send()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

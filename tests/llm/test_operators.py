@@ -139,7 +139,7 @@ def test_embeddings(spark):
     assert embed.vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_ngram(spark, words):
+def test_ngram(spark, words, monkeypatch):
     rows = odd_rows(words)
     df = docs_of(spark, rows, extra=True)
     model = ngram.train(df.where("doc_id is null or doc_id < 20"))
@@ -159,6 +159,8 @@ def test_ngram(spark, words):
         score = sum(math.log10((two[a, x] + ngram.MU * p1(x)) / (one[a] + ngram.MU)) if one[a] else math.log10(p1(x)) for a, x in zip([b"", *w[:-1]], w))
         want[(i, len(w), sum(one[x] > 0 for x in w), round(base, 6), round(score / len(w), 3))] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score / r.n_tokens, 3)) for r in got) == want
+    monkeypatch.setattr(ngram, "PAIRS_AT_ONCE", 3)
+    assert ngram.scores(df, model).collect() == got
     empty = ngram.train(docs_of(spark, []))
     assert [(r.n_tokens, r.n_known, r.score) for r in ngram.scores(docs_of(spark, [(1, None)]), empty).collect()] == [(1, 0, 0.0)]
     assert ngram.scores(docs_of(spark, []), model).count() == 0
