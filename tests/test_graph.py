@@ -143,3 +143,24 @@ def test_search_by_bits(spark):
     sources = spark.createDataFrame([(i,) for i in [*range(1, n + 1), 5, None]], "id long")
     assert {(r.source, r.dist): r.n for r in traversal.search(g, sources).collect()} == want
     assert traversal.search(g, sources.limit(0)).count() == 0
+
+
+def _components_to_search(n=130):
+    """A dense component, chains in and out of it, a hub of more links than a slice's row, pairs and lone nodes."""
+    rng = random.Random(3)
+    edges = [(rng.randint(1, 80), rng.randint(1, 80)) for _ in range(300)] + [(i, i + 1) for i in range(80, 100)] + [(i, 80) for i in range(1, 81)]
+    return n, edges + [(110, 111), (111, 110), (112, 113)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SMALL": 1, "SHARE": 50, "WORDS": 1}, {"SMALL": 1, "LINKS": 50}])
+def test_search_writes_no_rounds(spark, monkeypatch, limits):
+    n, edges = _components_to_search()
+    g = graph(spark, n, edges)
+    want = {(r.source, r.dist): r.n for r in traversal.histograms(traversal.distances(g, g.nodes)).collect()}
+    written = []
+    plain = traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df, name="step": written.append(name) or plain(df, name))
+    for name, value in limits.items():
+        monkeypatch.setattr(traversal, name, value)
+    assert {(r.source, r.dist): r.n for r in traversal.search(g, g.nodes).collect()} == want
+    assert "LINKS" in limits or not {"reached", "level"} & {*written}
