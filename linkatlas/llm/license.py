@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance.
 
-Units are a text's lines and the sentences in them; one is scored if it has two of the templates' terms, and
-one of them is not a word of ``COMMON``, which stand in any prose. A unit's vector has its terms' counts times
+Units are a text's lines and the sentences in them; each that could reach ``COSINE`` is scored: one is passed over
+only if what it shares with any template is bound to give less. (``op2_licenses`` asks for ``marked`` units only, as its SQL
+does: those that have two of the templates' terms, one of them not a word of ``COMMON``, which stand in any prose.) A unit's vector has its terms' counts times
 their inverse document frequency among the templates (terms that no template has count as the rarest). The best
 unit at ``COSINE`` or more gives a file its licence. A file
 named LICENSE, LICENCE, COPYING or NOTICE gives it to its directory too; a file without one of its own
@@ -77,10 +78,27 @@ def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float
 COMMON = "a and any are as at be by can code except file following for form forms found free in into is it may met mit not of or person program provided purpose source style subject terms that the this to under use v with without work you 0 1 2 3 4"
 
 
+#: Those of them that are the commonest in prose; ``needed`` takes them last.
+PROSE = "a and are as at be by for in is it not of or that the this to with"
+
+
 def telling(templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
     return sorted({term for _, _, term, _ in model(templates)[2]} - {*COMMON.split()})
 
 
+def needed(templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
+    """Terms one of which every unit at ``COSINE`` or more has: what each template has besides them is too short a vector."""
+    out: set[str] = set()
+    _, _, weights = model(templates)
+    for k in range(len(templates)):
+        rest = {term: x for at, _, term, x in weights if at == k}
+        while math.sqrt(sum(x * x for x in rest.values())) >= COSINE - 1e-5:
+            first = max(rest, key=lambda t: (t in out, t not in COMMON.split(), t not in PROSE.split(), rest[t], t))
+            out.add(first)
+            del rest[first]
+    return sorted(out)
+
+
 def line_licenses(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(line, license, cosine) for the distinct values in ``line`` that reach ``COSINE``; ties go to the first name."""
     spark = lines.sparkSession
@@ -100,21 +118,29 @@ def _terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, marked: bool = False) -> DataFrame:
     """One row per row of ``files`` (id, path, text): id, path, license, cosine, found ("header", "directory" or null).
 
     Null texts and paths count as empty; a file without a directory is in directory "". Files that share
     path and text are judged alike. Of several licence files in a directory the best cosine counts. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. ``marked`` leaves out units that reach the threshold by common
+    words or by one term alone.
     """
     idf, _, _ = model(templates)
     text = F.coalesce("text", F.lit(""))
     rows = files.select("id", F.coalesce("path", F.lit("")).alias("path"), F.xxhash64(text).alias("th"), text.alias("text"))
-    told, known = (F.array(*[F.lit(t) for t in x]) for x in (telling(templates), sorted(idf)))
+    told, known = (F.array(*[F.lit(t) for t in x]) for x in (telling(templates) if marked else needed(templates), sorted(idf)))
     tells = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), told)
     sentences = F.split(F.regexp_replace("text", "([.!?;]) +", "$1\n"), "\n")
     lines = rows.where(tells("text")).select("path", "th", F.explode(F.array_union(F.split("text", "\n"), sentences)).alias("line"))
-    lines = lines.where(tells("line")).where(F.size(F.array_intersect(_terms(F.col("line")), known)) >= 2)
+    lines, terms = lines.where(tells("line")), _terms(F.col("line"))
+    if marked:
+        lines = lines.where(F.size(F.array_intersect(terms, known)) >= 2)
+    else:
+        # m terms of the templates, repeats counted, make a vector of at most m times the rarest term; each other term adds that once at least.
+        other = F.size(F.array_except(terms, known))
+        m = F.size(F.filter(terms, lambda t: F.array_contains(known, t)))
+        lines = lines.where(m * m >= other * (COSINE**2 / (1 - COSINE**2) - 1e-4))
     lines = kept(lines.distinct(), "lines")
     scored = kept(line_licenses(lines, templates), "scored")
     own = lines.join(scored, "line").groupBy("path", "th").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b"))
@@ -142,7 +168,7 @@ PATH = """concat(coalesce(source, ''), '/', cast(floor(doc_id / 256) as bigint),
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = docs.select(F.col("doc_id").alias("id"), F.expr(PATH).alias("path"), "text")
-    return license_scan(files).withColumnRenamed("id", "doc_id")
+    return license_scan(files, marked=True).withColumnRenamed("id", "doc_id")
 
 
 def _op2_sql() -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -227,6 +228,18 @@ def test_licenses(spark):
     assert license.license_scan(df.limit(0)).count() == 0
 
 
+def test_every_unit_at_the_threshold(spark):
+    """Units that reach it by one term, or by common words alone, against scoring every unit there is."""
+    common = "to be and in or source use forms with without that are provided the following are met"
+    texts = ["MIT", "x\nISC\ny", "Released. Other words here", common, "the terms of this source code form subject to", "all of it is in the way", "mit mit mit und auch", "Apache", "nothing", "the the the of of", "any person to be found in a file of source", ""]
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    units = [(i, u) for i, t in enumerate(texts) for u in {*t.split("\n"), *re.sub(r"([.!?;]) +", r"\1\n", t).split("\n")}]
+    best = {r.line: (-r.cosine, r.license) for r in license.line_licenses(spark.createDataFrame(units, "id long, line string")).collect()}
+    want = {i: min((best[u] for j, u in units if j == i and u in best), default=(None, None))[1] for i in range(len(texts))}
+    assert {r.id: r.license for r in license.license_scan(df).collect()} == want
+    assert want[0] == "MIT" and want[1] == "ISC" and want[3] == "BSD-3-Clause" and want[8] is None
+
+
 def test_merkle(spark, monkeypatch):
     rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(700)] + [(None, None, None), (3, "u", "v"), (3, "u", "v"), (5, "u", "other"), (6, "u", "long " * 100_000)]
     for most in (merkle.MOST, 10):
