@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from linkatlas.llm import elias, embed, langid, mixing, ngram, simhash, suffix, toxicity
@@ -195,3 +196,14 @@ def test_pair_blocks():
         assert (one[place] == v).all() and (two[place] == w).all()
         back = ngram.unpacked(ngram.packed(v, w, n[place]), 3)
         assert (back[0] == v).all() and (back[1] == w).all() and (back[2] == n[place]).all()
+
+
+def test_chunks_of_groups():
+    """A batch of many groups is sorted in chunks; no group is parted, no row lost."""
+    sizes = [3, 1, 40, 2, 500, 1, 1]
+    key = [k for k, n in enumerate(sizes) for _ in range(n)]
+    table = pa.table({"key": key, "id": [b"%d" % i for i in range(len(key))], "context": [bytes(2000)] * len(key)})
+    parts = list(suffix.chunks(table))
+    assert pa.concat_tables(parts).equals(table)
+    assert len(parts) == 2 and [sorted(set(p.column("key").to_pylist())) for p in parts] == [[0, 1, 2, 3, 4], [5, 6]]
+    assert all(sum(map(len, p.column("context").to_pylist())) < suffix.CHUNK + 500 * 2000 for p in parts)
