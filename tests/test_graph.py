@@ -164,3 +164,18 @@ def test_search_writes_no_rounds(spark, monkeypatch, limits):
         monkeypatch.setattr(traversal, name, value)
     assert {(r.source, r.dist): r.n for r in traversal.search(g, g.nodes).collect()} == want
     assert "LINKS" in limits or not {"reached", "level"} & {*written}
+
+
+@pytest.mark.parametrize("limits", [{}, {"GATHER": 12, "BLOCK": 6}, {"GATHER": 0, "BLOCK": 5}])
+def test_strong_of_a_chain_of_cycles(spark, monkeypatch, limits):
+    """Cycles that lead from one into the next, which took rounds for each pair of them; the jobs are counted."""
+    for name, value in limits.items():
+        monkeypatch.setattr(traversal, name, value)
+    n = 24
+    edges = [(i, i - 2 if i % 3 == 0 else i + 1) for i in range(1, n + 1)] + [(i, i + 1) for i in range(3, n, 3)] + [(7, 7), (1, 2), (1, 99)]
+    written = []
+    plain = traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df, name="step": written.append(name) or plain(df, name))
+    got = as_dict(traversal.strong(graph(spark, n, edges)), "id", "label")
+    assert got == {i: i - (i - 1) % 3 for i in range(1, n + 1)}
+    assert limits or len(written) < 5
