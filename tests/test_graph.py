@@ -179,3 +179,31 @@ def test_strong_of_a_chain_of_cycles(spark, monkeypatch, limits):
     got = as_dict(traversal.strong(graph(spark, n, edges)), "id", "label")
     assert got == {i: i - (i - 1) % 3 for i in range(1, n + 1)}
     assert limits or len(written) < 5
+
+
+@pytest.mark.parametrize("shape", ["both ways", "chain"])
+@pytest.mark.parametrize("limits", [{}, {"SMALL": 1, "SHARE": 50, "WORDS": 1, "CLASSES": 3}])
+def test_search_through_hubs(spark, monkeypatch, shape, limits):
+    """Parts that hold together by a few nodes of many links, or by one link from each to the next, against the plain search."""
+    rng = random.Random(5)
+    n, edges = 150, []
+    for c in range(5):
+        ids = range(c * 30 + 1, c * 30 + 31)
+        edges += [(ids[i], ids[(i + 1) % 30]) for i in range(30)] + [(rng.choice(ids), rng.choice(ids)) for _ in range(20)]
+        if shape == "chain":
+            edges += [(rng.choice(ids), ids[-1] + 1)] if c < 4 else []
+        else:
+            edges += [(i, 151 + rng.randrange(2)) for i in ids] + [(153, 151), (153, 154)]
+    if shape == "both ways":
+        n, edges = 154, edges + [(b, a) for a, b in edges]
+    g = graph(spark, n, edges)
+    want = {(r.source, r.dist): r.n for r in traversal.histograms(traversal.distances(g, g.nodes)).collect()}
+    asked = []
+    plain = traversal.search_through_hubs
+    monkeypatch.setattr(traversal, "search_through_hubs", lambda *a: asked.append(plain(*a)) or asked[-1])
+    monkeypatch.setattr(traversal, "WIDE", 10)
+    monkeypatch.setattr(traversal, "WORTH", 1e-3)
+    for name, value in limits.items():
+        monkeypatch.setattr(traversal, name, value)
+    assert {(r.source, r.dist): r.n for r in traversal.search(g, g.nodes).collect()} == want
+    assert asked[0] is not None
