@@ -207,3 +207,30 @@ def test_search_through_hubs(spark, monkeypatch, shape, limits):
         monkeypatch.setattr(traversal, name, value)
     assert {(r.source, r.dist): r.n for r in traversal.search(g, g.nodes).collect()} == want
     assert asked[0] is not None
+
+
+@pytest.mark.parametrize("limits", [{"SMALL": 1, "WORDS": 1}, {"SMALL": 1, "LINKS": 30}, {"WIDE": 10, "WORTH": 1e-3}])
+def test_search_below_and_summed(spark, monkeypatch, limits):
+    """Cycles in a chain, and a tail from which no cycle is reached: histograms under a distance, and sums."""
+    from collections import Counter
+
+    n, edges = 75, [(i, i + 1) for i in range(65, 70)] + [(3, 65), (72, 73)]
+    edges += [(i, i - 14 if i % 15 == 0 else i + 1) for i in range(1, 61)] + [(15, 16), (30, 31), (45, 46)] + [(i, 16 + 7 * i % 13) for i in range(16, 31)]
+    dist = {(i, i): 0 for i in range(1, n + 1)}
+    for _ in range(n):
+        for a, b in edges:
+            for s in range(1, n + 1):
+                if (s, a) in dist:
+                    dist[s, b] = min(dist.get((s, b), n), dist[s, a] + 1)
+    want = Counter((s, d) for (s, _), d in dist.items())
+    for name, value in limits.items():
+        monkeypatch.setattr(traversal, name, value)
+    g = graph(spark, n, edges)
+    for below in (4,) if "LINKS" in limits else (None, 4):
+        got = [((r.source, r.dist), r.n) for r in traversal.search(g, g.nodes, below).collect()]
+        assert len(got) == len(dict(got))
+        assert dict(got) == {k: v for k, v in want.items() if below is None or k[1] < below}
+    if "LINKS" in limits:
+        return
+    near = [tuple(r) for r in traversal.search(g, g.nodes, summed=True).select("source", "reachable", "distances").collect()]
+    assert sorted(near) == [(s, sum(v for (a, d), v in want.items() if a == s and d), sum(d * v for (a, d), v in want.items() if a == s)) for s in range(1, n + 1)]
