@@ -234,3 +234,16 @@ def test_search_below_and_summed(spark, monkeypatch, limits):
         return
     near = [tuple(r) for r in traversal.search(g, g.nodes, summed=True).select("source", "reachable", "distances").collect()]
     assert sorted(near) == [(s, sum(v for (a, d), v in want.items() if a == s and d), sum(d * v for (a, d), v in want.items() if a == s)) for s in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("most", [traversal.GATHER, 12, 0])
+def test_connected_in_blocks(spark, monkeypatch, most):
+    """Pairs of near ids are contracted in memory, so that a single block needs no round; others cross blocks or are too many for one."""
+    edges = [(i, i + 1) for i in range(1, 12)] + [(20, 13), (14, 20), (5, 5), (30, 22), (22, 30), (25, 13)] + [(40, i) for i in range(41, 47)]
+    written = []
+    plain = traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df, name="step": written.append(name) or plain(df, name))
+    monkeypatch.setattr(traversal, "GATHER", most)
+    both = edges + [(b, a) for a, b in edges]
+    assert as_dict(traversal.connected(graph(spark, 46, edges)), "id", "label") == brute_strong(46, both)
+    assert most < 20 or written.count("pairs") == 1
