@@ -247,3 +247,17 @@ def test_connected_in_blocks(spark, monkeypatch, most):
     both = edges + [(b, a) for a, b in edges]
     assert as_dict(traversal.connected(graph(spark, 46, edges)), "id", "label") == brute_strong(46, both)
     assert most < 20 or written.count("pairs") == 1
+
+
+def test_search_takes_known_components(spark, monkeypatch):
+    """Components that are known are not looked for again."""
+    edges = [(i, i % 15 + 1) for i in range(1, 16)] + [(i, 16 + (i - 15) % 15) for i in range(16, 31)] + [(15, 16)]
+    g = graph(spark, 31, edges)
+    joined, cycles = traversal.connected(g), traversal.strong(g)
+    asked = []
+    monkeypatch.setattr(traversal, "strong", lambda *a: asked.append(a))
+    monkeypatch.setattr(traversal, "WIDE", 10)
+    got = traversal.search(g, g.nodes, summed=True, joined=joined, cycles=cycles)
+    # 1 goes through 14 of its own cycle, and over 15 into all 15 nodes of the next.
+    assert {r.source: (r.reachable, r.distances) for r in got.collect() if r.source in (1, 16, 31)} == {1: (29, 105 + sum(range(15, 30))), 16: (14, 105), 31: (0, 0)}
+    assert not asked
