@@ -249,6 +249,18 @@ def test_connected_in_blocks(spark, monkeypatch, most):
     assert most < 20 or written.count("pairs") == 1
 
 
+def test_connected_gathers_what_is_left(spark, monkeypatch):
+    """Links between far ids are thinned out to forests by the tasks, and what is left meets in one task: no round is written."""
+    edges = [(i, 41 + i % 2) for i in range(1, 39)] + [(38, 40), (41, 3)]
+    both = edges + [(b, a) for a, b in edges]
+    written = []
+    plain = traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df, name="step": written.append(name) or plain(df, name))
+    monkeypatch.setattr(traversal, "GATHER", 60)
+    assert as_dict(traversal.connected(graph(spark, 42, both)), "id", "label") == brute_strong(42, both)
+    assert written.count("pairs") == 1
+
+
 def test_search_takes_known_components(spark, monkeypatch):
     """Components that are known are not looked for again."""
     edges = [(i, i % 15 + 1) for i in range(1, 16)] + [(i, 16 + (i - 15) % 15) for i in range(16, 31)] + [(15, 16)]
