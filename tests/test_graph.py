@@ -273,3 +273,37 @@ def test_search_takes_known_components(spark, monkeypatch):
     # 1 goes through 14 of its own cycle, and over 15 into all 15 nodes of the next.
     assert {r.source: (r.reachable, r.distances) for r in got.collect() if r.source in (1, 16, 31)} == {1: (29, 105 + sum(range(15, 30))), 16: (14, 105), 31: (0, 0)}
     assert not asked
+
+
+@pytest.mark.parametrize("shape", ["chain", "hubs"])
+@pytest.mark.parametrize("limits", [{}, {"WIDE": 10, "WORTH": 1e-3}, {"WIDE": 10, "WORTH": 1e-3, "GATHER": 20, "BLOCK": 9}])
+def test_search_of_pieces(spark, monkeypatch, shape, limits):
+    """Cycles in a chain with nodes between them, or parts that share two hubs: components once, and the search's histograms, sums and spectrum."""
+    from collections import Counter
+
+    n, edges = 48, [(i, i - 9 if i % 10 == 0 else i + 1) for i in range(1, 41)]
+    edges += [(10, 11), (20, 42), (42, 21), (30, 31), (35, 43), (44, 3)] if shape == "chain" else [(i, 41 + i % 2) for i in range(1, 41)] + [(45, 46)]
+    edges = sorted(set(edges) | (set() if shape == "chain" else {(b, a) for a, b in edges}))
+    g = graph(spark, n, edges)
+    half = None if shape == "chain" else g.edges.where("src < dst")
+    g = traversal.Steps(g.nodes, traversal.cut(g.edges.selectExpr("cast(src as long) src", "cast(dst as long) dst")), half)
+    want = {(r.source, r.dist): r.n for r in traversal.histograms(traversal.distances(g, g.nodes)).collect()}
+    for name, value in limits.items():
+        monkeypatch.setattr(traversal, name, value)
+    asked = []
+    plain = traversal.connected
+    monkeypatch.setattr(traversal, "connected", lambda x: asked.append(x.nodes.count()) or plain(x))
+    known = traversal.pieces(g, cycles=shape == "chain")
+    assert as_dict(known.joined, "id", "label") == brute_strong(n, edges + [(b, a) for a, b in edges])
+    assert shape == "hubs" or as_dict(known.cycles, "id", "label") == brute_strong(n, edges)
+    # No component of the whole is looked for by itself: the chain has few links between cycles, the parts are without hubs.
+    assert all(x < n for x in asked) or shape == "hubs" and not limits or shape == "chain" and "GATHER" in limits
+    assert (known.hubs is None) == (not limits)
+    assert {(r.source, r.dist): r.n for r in traversal.search(g, g.nodes, known=known).collect()} == want
+    for below in (None, 3):
+        spectrum = Counter()
+        for (_, d), v in want.items():
+            spectrum[d] += v if below is None or d < below else 0
+        assert as_dict(metrics.spectrum(traversal.search(g, g.nodes, below, known=known, pooled=True)), "dist", "n") == {d: v for d, v in spectrum.items() if v}
+    near = sorted(tuple(r) for r in traversal.search(g, g.nodes, summed=True, known=known).select("source", "reachable", "distances").collect())
+    assert near == [(s, sum(v for (a, d), v in want.items() if a == s and d), sum(d * v for (a, d), v in want.items() if a == s)) for s in range(1, n + 1)]
